@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import decontaminate, exact_dedup, mixing, pii, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_url_filter": url_filter.op2_url_filter,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_pii": pii.op9_pii,
     }
 
 
@@ -16,4 +19,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.SQL,
         "op4_mix_sources": mixing.SQL,
+        "op8_decontaminate": decontaminate.SQL,
+        "op9_pii": pii.SQL,
     }
