@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, pii, url_filter
+from . import decontaminate, exact_dedup, language, mixing, pii, quality, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op6_language": language.op6_language,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_pii": pii.op9_pii,
     }
