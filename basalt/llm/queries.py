@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, mixing, pii, quality, url_filter
+from . import decontaminate, exact_dedup, language, mixing, pii, quality, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_language": language.op6_language,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_pii": pii.op9_pii,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
