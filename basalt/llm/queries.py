@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, mixing, pii, quality, toxicity, url_filter
+from . import decontaminate, exact_dedup, language, mixing, near_dedup, pii, quality, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op6_language": language.op6_language,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,
