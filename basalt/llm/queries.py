@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, mixing, near_dedup, pii, quality, toxicity, url_filter
+from . import decontaminate, exact_dedup, language, licenses, mixing, near_dedup, pii, quality, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_language": language.op6_language,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
