@@ -237,11 +237,13 @@ def decontaminate(
 ) -> DataFrame:
     """`docs` without what is in the benchmark, all columns kept: spans of hit words are cut out of the text, and a
     document goes as a whole if more than `most_coverage` of its words are hit. Documents without a hit stay as they are."""
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    scanned = scan_documents(docs.select(*docs.columns), benchmark, id_col, text_col, window=window, keep=rest, cleaned=True)
+    places = [f"__c{i}" for i in range(len(docs.columns))]  # own names cannot clash with those of the columns
+    ident, text = (places[docs.columns.index(c)] for c in (id_col, text_col))
+    rest = [c for c in places if c not in (ident, text)]
+    scanned = scan_documents(docs.toDF(*places), benchmark, ident, text, window=window, keep=rest, cleaned=True)
     scanned = scanned.where(F.col("n_hit") <= most_coverage * F.col("n_words"))
-    chosen = {id_col: F.col("doc_id"), text_col: F.col("cleaned")}
-    return scanned.select(*(chosen.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    chosen = {ident: F.col("doc_id"), text: F.col("cleaned")}
+    return scanned.select(*(chosen.get(p, F.col(p)).alias(c) for p, c in zip(places, docs.columns, strict=True)))
 
 
 def op8_decontaminate(spark, sf_dir):

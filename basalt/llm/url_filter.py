@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, ascii_lower, table
 
 DIM, GRAMS = 1 << 16, (3, 4, 5)
+#: How much more a row to block counts than one to allow.
+BLOCK_WEIGHT = 2.0
 #: Most labelled rows that `train` takes from a table.
 MOST_LABELLED = 50_000
 
@@ -109,8 +111,9 @@ def train(labelled: Sequence[tuple[str, int]], dim: int = DIM, steps: int = 1200
     rows, feats = features([h for h, _ in parts], [p for _, p in parts], dim)
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(y)), 1))
     weights, bias = np.zeros(dim), 0.0
+    heavy = np.where(y == 1, BLOCK_WEIGHT, 1.0)
     for _ in range(steps):
-        off = _scores(rows, feats, len(y), weights, bias) - y
+        off = (_scores(rows, feats, len(y), weights, bias) - y) * heavy
         weights -= rate * (np.bincount(feats, (off * scale)[rows], dim) / len(y) + l2 * weights)
         bias -= rate * off.mean()
     return weights.astype(np.float32), float(bias)

@@ -1,0 +1,74 @@
+import hashlib
+import re
+
+from basalt.llm import pii
+
+from .helpers import AWKWARD, clashing, docs
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + k % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+}
+
+
+def brute(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in BASE.items() for m in re.finditer(p, text or "") if ok(m.group())]
+
+
+TEXTS = [
+    "mail a.b+c@x-y.example.com, or a@b.com_x@c.org and a@@b.c; ÄÖ a@b.c", "1.2.3.4 and 256.1.1.1 then 1.2.3.4.5.6.7.8 and 01.002.0003.255", "4111 1111 1111 1111 and 4111-1111-1111-1112 or 12345678901234567",
+    "+1 (017) 555-7713, +12, +49.30.1234567 ++49 30 1234567 +1234567890123456", "ñ 4111111111111111 ñ +1 (243) 555-5526 中 9.8.7.6", "5 4111111111111111", "1" * 4000 + " " + "2 " * 3000, "a" * 5000 + "@", "x@y.z " * 700,
+    "IBAN DE89370400440532013000 and DE89370400440532013001", "my social security number is 123-45-6789", "part 123-45-6789", "1.2.3.4 " * 600,
+]
+
+
+def spans(frame):
+    return {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["found"]] for r in frame.collect()}
+
+
+def test_base_equals_python(spark):
+    got = spans(pii.find_pii(docs(spark, list(enumerate(TEXTS)))))
+    for i, text in enumerate(TEXTS):
+        assert [f"{k}:{a}:{b}" for k, a, b in got[i] if k in pii.BASE] == brute(text), text[:60]
+
+
+def test_added_kinds(spark):
+    got = spans(pii.find_pii(docs(spark, list(enumerate(TEXTS)))))
+    extra = lambda i: [s for s in got[i] if s[0] not in pii.BASE]
+    assert extra(9) == [("iban", 5, 27)] and extra(10) == [("ssn", 29, 40)] and extra(11) == []
+
+
+def test_context_raises_the_score(spark):
+    rows = [(1, "call me on +1 (243) 555-5526"), (2, "blah blah +1 (243) 555-5526")]
+    got = {r["doc_id"]: r["found"][0]["score"] for r in pii.find_pii(docs(spark, rows)).collect()}
+    assert got[1] > got[2]
+
+
+def test_query_columns(spark, tmp_path):
+    clashing(docs(spark, AWKWARD + [(20 + i, t) for i, t in enumerate(TEXTS)])).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in pii.op9_pii(spark, str(tmp_path)).collect()}
+    texts = dict(AWKWARD) | {20 + i: t for i, t in enumerate(TEXTS)}
+    for i, text in texts.items():
+        want = brute(text)
+        assert [rows[i][f"n_{k}"] for k in pii.BASE] == [sum(w.startswith(k + ":") for w in want) for k in pii.BASE]
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
+def test_no_python_on_the_main_path(spark):
+    plan = pii.find_pii(docs(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_empty(spark):
+    assert pii.find_pii(docs(spark, [])).count() == 0
