@@ -129,7 +129,7 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
     result is bounded by that sample.
     """
     small_batches(docs.sparkSession)
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("doc_id"), 3) != 1))
+    usable = docs.where(F.col("lang").isNotNull() & (crc_bucket(F.col("doc_id"), 3) != 1))
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return Model(pd.DataFrame({"lang": [], "code": [], "n": []}))

@@ -37,8 +37,8 @@ def features(texts: list) -> np.ndarray:
     out = np.zeros((len(data), WIDTH), np.float32)
     cls = _CLASS[np.frombuffer(b"".join(data), np.uint8)]
     if len(cls) > 1:
-        # a pair belongs to the text of its first byte; the one that leads into the next text is harmless
-        pair = np.repeat(np.arange(len(data), dtype=np.int64) * CLASSES**2, sizes)[:-1] + cls[:-1] * CLASSES + cls[1:]
+        owner = np.repeat(np.arange(len(data), dtype=np.int64), sizes)
+        pair = (owner[:-1] * CLASSES**2 + cls[:-1] * CLASSES + cls[1:])[owner[:-1] == owner[1:]]
         counts = np.bincount(pair, minlength=len(data) * CLASSES**2).reshape(len(data), -1)
         out[:, : CLASSES**2] = np.sqrt(counts / np.maximum(sizes, 1)[:, None])
     for row, d in zip(out, data, strict=True):
