@@ -38,6 +38,11 @@ def set_id(shingles: np.ndarray) -> bytes:
     return mix(np.array([a, b + U(len(shingles))], U)).tobytes()
 
 
+def short_id(sid: bytes) -> int:
+    """The first half of a set's id. Numbers are cheaper to group than bytes; classes that share one are merely compared."""
+    return int.from_bytes(sid[:8], "little", signed=True)
+
+
 def by_group(frames: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of rows that come in the order of `key`; a group may span batches."""
     held: list[pd.DataFrame] = []
@@ -111,9 +116,10 @@ def _sketched(percent: int, k: int) -> Callable:
             made = sketches(sets, COORDINATES)
             keys = band_keys(made, bands, rows).view(np.int64)
             some = [len(s) > 0 for s in sets]
+            ids = [set_id(s) if x else None for s, x in zip(sets, some, strict=True)]
             yield pd.DataFrame({
                 "doc_id": piece["doc_id"], "text_key": piece["text_key"], "n_shingles": [len(s) for s in sets],
-                "sid": [set_id(s) if x else None for s, x in zip(sets, some, strict=True)],
+                "sid": ids, "cid": [short_id(i) if x else None for i, x in zip(ids, some, strict=True)],
                 "bands": [b if x else None for b, x in zip(keys, some, strict=True)],
                 "sketch": [c.tobytes() if x else None for c, x in zip((made & U(0xFF)).astype(np.uint8), some, strict=True)],
             })
@@ -128,17 +134,19 @@ def _forest(percent: int) -> Callable:
 
     def ties(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in by_group(frames, ["lid"]):
-            sid = group["sid"].to_numpy()
+            cid = group["cid"].to_numpy()
             sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-            joined, a, b = Joined(np.arange(len(group))), [], []
+            label, a, b = np.arange(len(group)), [], []
             for i in range(len(group) - 1):
-                near = i + 1 + np.flatnonzero((sketch[i + 1 :] == sketch[i]).mean(1) >= least)
-                for j in near.tolist():
-                    if joined.merge(i, np.array([j])):
-                        a.append(sid[j])
-                        b.append(sid[i])
+                other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                near = other[(sketch[other] == sketch[i]).mean(1) >= least]
+                if len(near):
+                    names, first = np.unique(label[near], return_index=True)
+                    a.append(cid[near[first]])
+                    b.append(np.full(len(names), cid[i]))
+                    label[np.isin(label, names)] = label[i]
             if a:
-                yield pd.DataFrame({"a": a, "b": b})
+                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return ties
 
@@ -216,22 +224,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
-    schema = f"doc_id {id_type}, text_key long, n_shingles long, sid binary, bands array<long>, sketch binary"
+    schema = f"doc_id {id_type}, text_key long, n_shingles long, sid binary, cid long, bands array<long>, sketch binary"
     made = cut(base.mapInPandas(_sketched(percent, k), schema))
     classes = made.where("sid IS NOT NULL").groupBy("sid")
-    classes = cut(classes.agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = cut(classes.agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("cid").alias("cid"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
-    member = classes.select("sid", F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.min("sid").alias("least")).where("size > 1")
+    member = classes.select("cid", F.explode("bands").alias("key"))
+    buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("least")).where("size > 1")
     placed = member.join(buckets, "key")
-    stars = placed.where((F.col("size") > SMALL_BUCKET) & (F.col("sid") != F.col("least"))).select(F.col("sid").alias("a"), F.col("least").alias("b"))
-    lists = placed.where(F.col("size") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("sid")).alias("sids")).select("sids").distinct()
-    listed = lists.select(F.xxhash64("sids").alias("lid"), F.explode("sids").alias("sid")).join(classes.select("sid", "sketch"), "sid")
-    forest = listed.repartition("lid").sortWithinPartitions("lid", "sid").select("lid", "sid", "sketch").mapInPandas(_forest(percent), "a binary, b binary")
+    stars = placed.where((F.col("size") > SMALL_BUCKET) & (F.col("cid") != F.col("least"))).select(F.col("cid").alias("a"), F.col("least").alias("b"))
+    lists = placed.where(F.col("size") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("cids")).select("cids").distinct()
+    listed = lists.select(F.xxhash64("cids").alias("lid"), F.explode("cids").alias("cid")).join(classes.select("cid", "sketch"), "cid")
+    forest = listed.repartition("lid").sortWithinPartitions("lid", "cid").select("lid", "cid", "sketch").mapInPandas(_forest(percent), "a long, b long")
     coarse = components(stars.unionByName(forest))
 
-    comp = coarse.select(F.col("node").alias("sid"), F.col("root").alias("comp")).unionByName(coarse.select(F.col("root").alias("sid"), F.col("root").alias("comp")).distinct())
-    comp = comp.join(classes.select("sid", "first_id", "n"), "sid")
+    comp = coarse.select(F.col("node").alias("cid"), F.col("root").alias("comp")).unionByName(coarse.select(F.col("root").alias("cid"), F.col("root").alias("comp")).distinct())
+    comp = comp.join(classes.select("cid", "sid", "first_id", "n"), "cid").drop("cid")
     load = comp.groupBy("comp").agg(F.sum("n").alias("shingles"), F.count("*").alias("classes"))
     blocks = F.greatest(F.ceil(F.col("shingles") / TASK_SHINGLES), F.ceil(F.col("classes") / TASK_CLASSES)).cast("int")
     comp = cut(comp.join(load.select("comp", blocks.alias("blocks")), "comp"))
