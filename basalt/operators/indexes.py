@@ -79,11 +79,21 @@ def paged(rows: DataFrame, key: str, per_page: int = 2) -> DataFrame:
     return out.drop("__part", "__at", "__start")
 
 
+def overflow(index: DataFrame, first_key: str, page: str, rows: DataFrame, key: str, per_page: int = 2) -> DataFrame:
+    """Rows placed in existing pages: `page_no` of the greatest first key not above the row's key (the first page below all),
+    and `chain`, the number of the page in that page's chain of overflow pages, in key order.
+
+    `index` has one row for each page. Only keys and page numbers meet it; rows join their keys afterwards.
+    """
+    floors = sparse_floor(rows.select(key).distinct(), key, index.select(first_key), first_key)
+    least = index.agg(F.min(first_key)).first()[0]
+    found = floors.withColumn("__at", F.coalesce("floor_key", F.lit(least)))
+    pages = index.select(F.col(first_key).alias("__at"), F.col(page).alias("page_no"))
+    placed = rows.join(found.join(pages, "__at").select(key, "page_no"), key)
+    at = F.row_number().over(Window.partitionBy("page_no").orderBy(key)) - 1
+    return placed.withColumn("chain", F.floor(at / per_page).cast("int"))
+
+
 def merged(main: DataFrame, delta: DataFrame, live: Column) -> DataFrame:
     """Main file and delta as one, without what is deleted."""
     return main.unionByName(delta).where(live)
-
-
-def compacted_limit(main_rows: int, limit: int) -> int:
-    """Rows that the delta may hold after a compaction: log2 of what is now in the main file."""
-    return max(1, (main_rows + limit).bit_length() - 1)

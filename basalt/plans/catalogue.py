@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import codec
 from basalt.operators import indexes, spatial
+from basalt.operators.sequential import SequentialTable
 from basalt.plans.engine import Engine, query
 from basalt.session import checkpoint_dir
 from basalt.sources import csv as csv_source
@@ -125,6 +126,25 @@ def paged_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("page_no").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
+def sequential_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts in two loads with a compaction between, one row removed, then a range."""
+    e = Engine(spark, scratch(spark))
+    e.execute("CREATE TABLE t (o_orderkey INT, o_orderstatus VARCHAR[1])")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 1000").select("o_orderkey", "o_orderstatus")
+    t = SequentialTable(e.store, "t", "o_orderkey")
+    t.insert(orders.where("o_orderkey % 2 = 1"))
+    t.insert(orders.where("o_orderkey % 2 = 0"))
+    t.remove(150)
+    return t.range_search(100, 200)
+
+
+def paged_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that come later, in the chains of pages made from every fourth key."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 400").select("o_orderkey")
+    pages = indexes.paged(orders.where("o_orderkey % 4 = 0"), "o_orderkey", 2).groupBy("page_no").agg(F.min("o_orderkey").alias("first_key"))
+    return indexes.overflow(pages, "first_key", "page_no", orders.where("o_orderkey % 4 <> 0"), "o_orderkey", 2)
+
+
 # -- layouts
 
 
@@ -251,6 +271,8 @@ QUERIES: dict[str, Query] = {
     "sequential_merge": sequential_merge,
     "sparse_index_floor_lookup": sparse_index_floor_lookup,
     "paged_layout": paged_layout,
+    "paged_overflow": paged_overflow,
+    "sequential_table": sequential_table,
     "index_btree_layout": index_btree_layout,
     "index_hash_layout": index_hash_layout,
     "codec_float32": codec_float32,
@@ -300,6 +322,10 @@ SQL = {
     "sequential_merge": "SELECT event_id, event_type, value FROM events WHERE event_type <> 'error' ORDER BY event_id",
     "sparse_index_floor_lookup": "SELECT o_orderkey, max(k) AS floor_key FROM orders LEFT JOIN (SELECT event_id AS k FROM events WHERE event_id % 64 = 0) ON k <= o_orderkey WHERE o_orderkey <= 500 GROUP BY o_orderkey",
     "paged_layout": "SELECT CAST(floor((rn - 1) / 2) AS BIGINT) AS page_no, count(*) AS n, min(o_orderkey) AS first_key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY 1",
+    "paged_overflow": "WITH p AS (SELECT page_no, min(o_orderkey) AS first_key FROM (SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 2) AS BIGINT) AS page_no FROM orders WHERE o_orderkey <= 400 AND o_orderkey % 4 = 0) GROUP BY 1), "
+    "f AS (SELECT o_orderkey, coalesce(max(first_key), (SELECT min(first_key) FROM p)) AS first_key FROM orders LEFT JOIN p ON first_key <= o_orderkey WHERE o_orderkey <= 400 AND o_orderkey % 4 <> 0 GROUP BY 1) "
+    "SELECT o_orderkey, page_no, CAST(floor((row_number() OVER (PARTITION BY page_no ORDER BY o_orderkey) - 1) / 2) AS INT) AS chain FROM f JOIN p USING (first_key)",
+    "sequential_table": "SELECT CAST(o_orderkey AS INT) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 100 AND 200 AND o_orderkey <> 150",
     "index_btree_layout": "SELECT * FROM orders WHERE o_orderkey IN (7, 614, 681, 405)",
     "index_hash_layout": "SELECT * FROM orders WHERE o_orderkey IN (7, 614, 681, 405)",
     "codec_float32": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_discount AS FLOAT) AS DOUBLE) AS v FROM lineitem",

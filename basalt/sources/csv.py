@@ -76,3 +76,8 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType = SALES, sep
         return rows
     order = rows.select("*", F.monotonically_increasing_id().alias("__at"))
     return order.orderBy("__at").limit(first).drop("__at")
+
+
+def export(rows: DataFrame, path: str) -> None:
+    """Writes rows as CSV files with a header, quoted as uploads are read."""
+    rows.write.option("header", True).option("escape", '"').csv(path)

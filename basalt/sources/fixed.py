@@ -16,6 +16,13 @@ from pyspark.sql import types as T
 from basalt.functions.codec import ColumnType
 
 
+#: The sales record: 52 bytes, texts in latin-1 padded with NULs.
+SALES = (
+    ("id", ColumnType("INT")), ("producto", ColumnType("VARCHAR", 20)), ("cantidad", ColumnType("INT")),
+    ("precio", ColumnType("FLOAT")), ("fecha", ColumnType("VARCHAR", 20)),
+)
+
+
 def layout(columns: Sequence[tuple[str, ColumnType]]) -> np.dtype:
     """The record as a numpy type, aligned as C would align it, without padding at its end."""
     at, names, formats, offsets = 0, [], [], []
@@ -30,39 +37,39 @@ def layout(columns: Sequence[tuple[str, ColumnType]]) -> np.dtype:
     return np.dtype({"names": names, "formats": formats, "offsets": offsets, "itemsize": max(at, 1)})
 
 
-def decode(records: bytes, columns: Sequence[tuple[str, ColumnType]]) -> pd.DataFrame:
-    """Records as rows, deleted ones too."""
+def decode(records: bytes, columns: Sequence[tuple[str, ColumnType]], encoding: str = "utf-8") -> pd.DataFrame:
+    """Records as rows, deleted ones too. Blanks and NULs at the ends of texts go."""
     table = np.frombuffer(records, layout(columns))
     out = {}
     for name, kind in columns:
         values = table[name]
         if kind.name in ("VARCHAR", "DATE"):
-            out[name] = [v.decode("utf-8", "replace").strip(" \0\t\n\r") for v in values]
+            out[name] = [v.decode(encoding, "replace").strip(" \0\t\n\r") for v in values]
         else:
             out[name] = list(values) if kind.name == "ARRAY" else values
     return pd.DataFrame(out)
 
 
-def encode(rows: pd.DataFrame, columns: Sequence[tuple[str, ColumnType]]) -> bytes:
-    """Rows whose values fit their types as records; texts are padded with blanks."""
+def encode(rows: pd.DataFrame, columns: Sequence[tuple[str, ColumnType]], encoding: str = "utf-8", padding: bytes = b" ") -> bytes:
+    """Rows whose values fit their types as records; texts are cut to their width and padded (blanks, or NULs as sales records have)."""
     table = np.zeros(len(rows), layout(columns))
     for name, kind in columns:
         if kind.name in ("VARCHAR", "DATE"):
             size = 10 if kind.name == "DATE" else kind.length
-            table[name] = [str(v).encode()[:size].ljust(size) for v in rows[name]]
+            table[name] = [str(v).encode(encoding, "replace")[:size].ljust(size, padding) for v in rows[name]]
         else:
             table[name] = np.array(rows[name].tolist(), "f4").reshape(-1, 2) if kind.name == "ARRAY" else rows[name].to_numpy()
     return table.tobytes()
 
 
-def read_fixed(spark: SparkSession, path: str, columns: Sequence[tuple[str, ColumnType]]) -> DataFrame:
+def read_fixed(spark: SparkSession, path: str, columns: Sequence[tuple[str, ColumnType]], encoding: str = "utf-8") -> DataFrame:
     """Live records of a file, with `_rid`: the record's place among all that the file holds."""
     width = layout(columns).itemsize
     schema = T.StructType([T.StructField(n, k.spark) for n, k in columns])
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = decode(b"".join(map(bytes, frame["record"])), columns)
+            out = decode(b"".join(map(bytes, frame["record"])), columns, encoding)
             yield out.assign(_rid=frame["_rid"].to_numpy())
 
     numbered = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda x: (bytearray(x[0]), x[1]))
