@@ -1,12 +1,13 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as its own vector (for words seen in training) beside the mean of its hashed character trigrams' vectors.
+A word enters as its own vector (for words seen in training) beside the sum of its hashed character n-grams' vectors over
+the root of their number, so that a telling stem is not lost in a long word.
 Both directions' gate inputs depend on the word alone and are worked out once for each distinct word of a batch.
 A text is read in windows of `SPAN` words, one starting every `STRIDE` words, so that each word is seen in two
 windows; the window with the highest score gives the score of the text.
 
 Labels belong to whole texts. Training is multi-instance: of each text, the window that scores highest takes the label;
-before the first pass, windows are ranked by how much more common their words are in toxic texts.
+before the first pass, windows are ranked by how much more common their words, word beginnings and word ends are in toxic texts.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .samples import labelled_sample
 MOST_LABELLED = 3000
 SPAN, STRIDE = 48, 24
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
-#: Hash range of character trigrams; most words with a vector of their own.
-GRAMS, MOST_WORDS = 4096, 20_000
+#: Lengths and hash range of character n-grams; most words with a vector of their own.
+LENGTHS, GRAMS, MOST_WORDS = (3, 4, 5), 1 << 15, 20_000
 BATCH = 2048
 
 
@@ -43,16 +44,36 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, (np.cumsum(counts) - counts)[text] + nth * STRIDE, np.minimum(SPAN, counts[text] - nth * STRIDE)
 
 
-def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, gram) pairs of the hashed byte trigrams of `^word$`."""
-    data = np.frombuffer(b"".join(b"^%b$" % w for w in words), np.uint8).astype(np.int64)
+def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, gram) pairs of the hashed byte n-grams of `^word$`, by word."""
+    data = np.frombuffer(b"".join([b"^%b$" % w for w in words]), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words)), sizes)
-    if len(data) < 3:
-        return owner[:0], owner[:0]
-    code = ((data[:-2] * 257 + data[1:-1]) * 257 + data[2:]) * 2654435761 % (1 << 32) >> 8
-    inside = owner[:-2] == owner[2:]
-    return owner[:-2][inside], code[inside] % GRAMS
+    owners, codes = [], []
+    for n in LENGTHS:
+        last = len(data) - n + 1
+        if last <= 0:
+            continue
+        code = np.full(last, n, np.uint64)
+        for k in range(n):
+            code = code * np.uint64(1_000_003) + data[k : k + last]
+        inside = owner[:last] == owner[n - 1 :]
+        owners.append(owner[:last][inside])
+        codes.append((code[inside] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % GRAMS)
+    none = np.empty(0, np.int64)
+    owners, codes = np.concatenate([*owners, none]), np.concatenate([*codes, none])
+    order = np.argsort(owners, kind="stable")
+    return owners[order], codes[order]
+
+
+def odds(where: np.ndarray, what: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
+    """For each thing (a number in `what`, in text `where`) its log odds of toxic texts, 0 if below 0 or in fewer than `least` texts."""
+    things = int(what.max()) + 1 if len(what) else 0
+    pairs = np.unique(where * max(1, things) + what)
+    where, what = pairs // max(1, things), pairs % max(1, things)
+    toxic, all_ = np.bincount(what[label[where] == 1], minlength=things), np.bincount(what, minlength=things)
+    out = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((all_ - toxic + 0.5) / (len(label) - label.sum() + 1))
+    return np.where(all_ >= least, np.maximum(0, out), 0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -68,7 +89,7 @@ class Network:
         wide = WORD_DIM + CHAR_DIM
         self.vocab = vocab
         self.p = {
-            "word": rng.normal(0, 0.1, (len(vocab) + 1, WORD_DIM)).astype(np.float32), "char": rng.normal(0, 0.3, (GRAMS, CHAR_DIM)).astype(np.float32),
+            "word": rng.normal(0, 0.1, (len(vocab) + 1, WORD_DIM)).astype(np.float32), "char": rng.normal(0, 0.1, (GRAMS, CHAR_DIM)).astype(np.float32),
             "wf": draw(wide, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN, np.float32), "uf": draw(HIDDEN, 3 * HIDDEN),
             "wb": draw(wide, 3 * HIDDEN), "bb": np.zeros(3 * HIDDEN, np.float32), "ub": draw(HIDDEN, 3 * HIDDEN),
             "att": draw(2 * HIDDEN, ATTENTION), "v": draw(ATTENTION), "out": draw(2 * HIDDEN), "c": np.zeros(1, np.float32),
@@ -79,8 +100,8 @@ class Network:
     def inputs(self, words: list[bytes]) -> tuple:
         """Vectors of distinct words, and what the backward pass needs of them."""
         rows = np.fromiter((self.vocab.get(w, 0) for w in words), np.int64, len(words))
-        owner, gram = trigrams(words)
-        share = (1 / np.maximum(1, np.bincount(owner, minlength=len(words)))).astype(np.float32)
+        owner, gram = ngrams(words)
+        share = (1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(words))))).astype(np.float32)
         mean = np.zeros((len(words), CHAR_DIM), np.float32)
         if len(owner):
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -193,17 +214,19 @@ def train(texts: list, label: np.ndarray, passes: int = 10, size: int = 256, rat
     rng = np.random.default_rng(seed)
     numbers, distinct, counts = numbered([words_of(t) for t in texts])
     owner = np.repeat(np.arange(len(texts)), counts)
+    label = np.asarray(label, np.int64)
     pairs = np.unique(owner * max(1, len(distinct)) + numbers)
     where, word = pairs // max(1, len(distinct)), pairs % max(1, len(distinct))
-    label = np.asarray(label, np.int64)
-    toxic = np.bincount(word[label[where] == 1], minlength=len(distinct))
-    clean = np.bincount(word[label[where] != 1], minlength=len(distinct))
-    common = np.argsort(-(toxic + clean), kind="stable")[:MOST_WORDS]
-    net = Network({distinct[k]: i + 1 for i, k in enumerate(k for k in common.tolist() if toxic[k] + clean[k] >= 3)})
+    spread = np.bincount(word, minlength=len(distinct))
+    common = np.argsort(-spread, kind="stable")[:MOST_WORDS]
+    net = Network({distinct[k]: i + 1 for i, k in enumerate(k for k in common.tolist() if spread[k] >= 3)})
     if not len(texts):
         return net
-    odds = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((clean + 0.5) / (len(label) - label.sum() + 1))
-    weight = np.where(toxic + clean >= 3, np.maximum(0, odds), 0)
+    weight = odds(where, word, label, 3)
+    for cut in (slice(0, 4), slice(0, 5), slice(-4, None), slice(-5, None)):
+        place: dict[bytes, int] = {}
+        part = np.array([place.setdefault(w[cut], len(place)) for w in distinct], np.int64)
+        weight = np.maximum(weight, odds(where, part[word], label, 5)[part])
     text, first, span = windows(counts)
     total = np.concatenate(([0], np.cumsum(weight[numbers])))
     logit = total[first + span] - total[first]
