@@ -34,7 +34,7 @@ def utf8(text: object) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def chunks(frames: Iterator[pd.DataFrame], text_col: str, max_chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def chunks(frames: Iterator[pd.DataFrame], text_col: str, max_chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Re-cuts Arrow batches so that a piece holds about `max_chars` characters (one row at least): memory stays bounded when texts are long."""
     for frame in frames:
         sizes = frame[text_col].str.len().fillna(0).to_numpy()
