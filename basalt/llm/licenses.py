@@ -148,7 +148,7 @@ def noisy(text: str, strange: list[str], rng: np.random.Generator) -> str:
     return " ".join(words)
 
 
-def train(unknown: list[str], steps: int = 150, rate: float = 20.0, seed: int = 5) -> Model:
+def train(unknown: list[str], steps: int = 60, rate: float = 40.0, seed: int = 5) -> Model:
     """A calibrated model; `unknown`: ordinary paragraphs. Half of all examples fit the weights, the other half sets the margin."""
     rng = np.random.default_rng(seed)
     strange = sorted({w for u in unknown[:500] for w in u.split()[:20]}) or ["lorem", "ipsum"]
