@@ -37,7 +37,7 @@ def utf8(text: object) -> bytes:
 def chunks(frames: Iterator[pd.DataFrame], text_col: str, max_chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Re-cuts Arrow batches so that a piece holds about `max_chars` characters (one row at least): memory stays bounded when texts are long."""
     for frame in frames:
-        sizes = frame[text_col].str.len().fillna(0).to_numpy()
+        sizes = [len(t) if isinstance(t, str) else 0 for t in frame[text_col]]
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if i > start and total + n > max_chars:

@@ -9,11 +9,11 @@ table of costs by context and byte: a text's exact code length is a sum of table
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ from .common import chunks, crc_bucket, small_batches, table
 MOST_DOCS = 400
 #: Most languages, and most cells (4 bytes) of the table of costs; beyond these contexts are cut to order 2.
 MOST_LANGUAGES, MOST_CELLS = 200, 24_000_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 START = b"\n\n\n"
 
 

@@ -195,14 +195,17 @@ def _links_of_large(rows: DataFrame, percent: int) -> DataFrame:
         else:
             probes = named.where("label <> top")
         # each probe visits every block; probes of one block are kept apart so that a task stays small
-        visits = probes.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), F.col("block").alias("of"), "sid", "label", F.lit(True).alias("probe"), "shingles")
+        to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to")
+        visits = probes.select("comp", to, F.col("block").alias("of"), "blocks", "sid", "label", F.lit(True).alias("probe"), "shingles")
         if stage == "pivots":
             meet = base.unionByName(visits.select("comp", F.col("to").alias("part"), "sid", "label", "probe", "shingles"))
         else:
-            pairs = visits.select("comp", "to", "of").distinct()
-            part = (F.col("to") * 1_000_000 + F.col("of")).alias("part")
-            hosts = base.join(pairs, (base["comp"] == pairs["comp"]) & (base["part"] == pairs["to"]))
-            meet = hosts.select(base["comp"], part, "sid", "label", "probe", "shingles").unionByName(visits.select("comp", part, "sid", "label", "probe", "shingles"))
+            visits = visits.withColumn("part", F.col("to").cast("long") * F.col("blocks") + F.col("of"))
+            pairs = visits.select(F.col("comp").alias("c"), "to", F.col("part").alias("meeting")).distinct()
+            hosts = base.join(pairs, (F.col("comp") == F.col("c")) & (F.col("part") == F.col("to")))
+            meet = hosts.select("comp", F.col("meeting").alias("part"), "sid", "label", "probe", "shingles")
+            meet = meet.unionByName(visits.select("comp", "part", "sid", "label", "probe", "shingles"))
+            # a probe that meets its own block is there twice
             meet = meet.groupBy("comp", "part", "sid", "label").agg(F.max("probe").alias("probe"), F.first("shingles").alias("shingles"))
         ties = cut(ties.unionByName(_meet(meet, percent)))
     return ties

@@ -6,6 +6,7 @@ import corpus_pipeline
 from basalt.llm import decontaminate, queries
 from compare import TABLES, rows
 
+from .helpers import AWKWARD, clashing, docs as make_docs
 from .test_decontaminate import words
 from .test_near_dedup import brute as near_brute
 
@@ -75,5 +76,35 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == kept["mixing"]
 
 
+@pytest.mark.parametrize("texts", [[None, None], ["", ""], ["...", "\n"], ["same text", "same text"]])
+def test_every_query_over_dull_tables(spark, tmp_path, texts):
+    for t in ("documents", "pages", "labels", "benchmark"):
+        frame = spark.read.parquet(f"{SF}/{t}.parquet").limit(0)
+        if t == "documents":
+            frame = frame.unionByName(spark.createDataFrame([(i, x, None, None, None) for i, x in enumerate(texts)], frame.schema))
+        if t == "pages":
+            frame = frame.unionByName(spark.createDataFrame([(i, x, None) for i, x in enumerate(texts)], frame.schema))
+        frame.write.parquet(str(tmp_path / f"{t}.parquet"))
+    for name, query in queries.queries().items():
+        assert query(spark, str(tmp_path)).count() == len(texts), name
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, [], [(1, None)]])
+def test_stages_over_awkward_tables(spark, rows):
+    frame = clashing(make_docs(spark, rows))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, SF)
+        got = out.collect()
+        if name == "mixing":
+            assert len(got) == len(rows)
+        else:
+            assert out.columns == frame.columns and len(got) <= len(rows)
+        if name in ("exact_dedup", "near_dedup") and rows is AWKWARD:
+            ids = [r["doc_id"] for r in got]
+            assert {4, 5, None, 9} <= set(ids) and len([i for i in ids if i in (6, 7)]) == 1
+        if name == "decontaminate":
+            assert sorted(map(str, got)) == sorted(map(str, frame.collect()))
+
+
 def test_window_is_the_one_of_the_contract():
     assert decontaminate.WINDOW == 10
