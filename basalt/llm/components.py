@@ -7,33 +7,43 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: A node with more than this share of all edges (and more than LEAST_HOT) is hot; so there are 2 / HOT_SHARE hot nodes at most.
+HOT_SHARE, LEAST_HOT = 1 / 1000, 100
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _joined(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
+    """`rows` (a, b) with `m` of their `a` in `least` (a, m, degree). Hot nodes are few and broadcast; the rest joins by shuffle."""
+    tagged = rows.join(F.broadcast(least.where(F.col("degree") > hot).select("a", F.col("m").alias("hm"))), "a", "left")
+    rest = tagged.where("hm IS NULL").join(least.where(F.col("degree") <= hot).select("a", "m"), "a")
+    return rest.select("a", "b", "m").unionByName(tagged.where("hm IS NOT NULL").select("a", "b", F.col("hm").alias("m")))
+
+
+def _large_star(edges: DataFrame, hot: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("a", "m"))
+    return _joined(both.where("b > a"), least, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    moved = _joined(down, least, hot).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """`node, root` for every node of `edges` (a, b) but the roots; the root is the least node of its component.
 
-    Hubs are reduced to their least neighbour by partial aggregates; the joins back are ordinary ones, whose hot keys
-    Spark splits. Nulls and loops are no edges. Raises if `most_rounds` rounds do not suffice (they grow with the
-    logarithm of the longest chain).
+    Least neighbours come from partial aggregates. Nulls and loops are no edges. Raises if `most_rounds` rounds do not
+    suffice (they grow with the logarithm of the longest chain).
     """
     state = cut(edges.where("a <> b").select("a", "b").distinct())
     mark = None
-    for _ in range(most_rounds):
-        state = cut(_small_star(_large_star(state)))
+    while most_rounds:
         row = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == mark:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = (row["n"], row["h"])
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        mark, hot = (row["n"], row["h"]), max(LEAST_HOT, int(row["n"] * HOT_SHARE))
+        state = cut(_small_star(cut(_large_star(state, hot)), hot))
+        most_rounds -= 1
+    raise RuntimeError("components did not settle")

@@ -27,6 +27,8 @@ from .shingles import U, band_keys, bands_for, mix, shingle_sets, sketches
 
 #: Coordinates of a sketch, largest bucket whose sketches are compared, largest set of classes and of shingles for one task.
 COORDINATES, SMALL_BUCKET, TASK_CLASSES, TASK_SHINGLES = 256, 512, 3000, 3_000_000
+#: Most buckets whose rows are broadcast.
+HOT_BUCKETS = 5000
 #: Deviations of the estimate that a pair may lie under the threshold and still be verified.
 SLACK = 5.0
 PIVOTS = 16
@@ -234,8 +236,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     member = classes.select("cid", F.explode("bands").alias("key"))
     buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("least")).where("size > 1")
-    placed = member.join(buckets, "key")
-    stars = placed.where((F.col("size") > SMALL_BUCKET) & (F.col("cid") != F.col("least"))).select(F.col("cid").alias("a"), F.col("least").alias("b"))
+    buckets = cut(buckets)
+    # a bucket above the bound holds so large a share of all memberships that there are few of them
+    bound = max(SMALL_BUCKET, classes.count() * bands_for(percent / 100, COORDINATES)[0] // HOT_BUCKETS)
+    hot = F.broadcast(buckets.where(F.col("size") > bound))
+    placed = member.join(hot.select("key"), "key", "left_anti").join(buckets.where(F.col("size") <= bound), "key")
+    tied = placed.where(F.col("size") > SMALL_BUCKET).select("cid", "least").unionByName(member.join(hot, "key").select("cid", "least"))
+    stars = tied.where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"))
     lists = placed.where(F.col("size") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("cids")).select("cids").distinct()
     listed = lists.select(F.xxhash64("cids").alias("lid"), F.explode("cids").alias("cid")).join(classes.select("cid", "sketch"), "cid")
     forest = listed.repartition("lid").sortWithinPartitions("lid", "cid").select("lid", "cid", "sketch").mapInPandas(_forest(percent), "a long, b long")
