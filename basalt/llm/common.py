@@ -51,3 +51,12 @@ def chunks(frames: Iterator[pd.DataFrame], text_col: str, max_chars: int = 1_000
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows for each Arrow batch: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Rows that `if_small` broadcasts at most; its callers' rows are under 100 bytes.
+MOST_BROADCAST = 500_000
+
+
+def if_small(rows: DataFrame) -> DataFrame:
+    """`rows`, which have been computed, marked for broadcast if there are `MOST_BROADCAST` at most; beyond that a join with it shuffles."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows

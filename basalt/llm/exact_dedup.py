@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, if_small
 
 
 def text_digest(text: Column) -> Column:
@@ -80,17 +80,29 @@ def drop_exact_copies(
 ) -> DataFrame:
     """The rows of `docs` that `exact_dedup` keeps, with all their columns, under the same rules.
 
-    Copies of winners go on the map side; what is left of each group is small and meets in one shuffle.
+    Copies of winners go on the map side. Of the other groups, what is to go is listed by id and digest; texts meet that list
+    by broadcast while it is small, else by a shuffle. Repeated rows (same id, same text) of a row that stays are folded.
     """
-    key, keep = "__basalt_digest", "__basalt_keep"
-    _, verified = _keyed_and_winners(docs, id_col, text_col, winners, counters)
-    hot = verified.select(F.col("text_sha256").alias(key), F.struct("keep_id").alias(keep))
+    key, keep, act = "__basalt_digest", "__basalt_keep", "__basalt_act"
+    keyed, verified = _keyed_and_winners(docs, id_col, text_col, winners, counters)
+    order = Window.partitionBy("text_sha256").orderBy(F.col("doc_id").desc_nulls_last())
+    rest = keyed.join(F.broadcast(verified.select("text_sha256")), "text_sha256", "left_anti")
+    placed = rest.withColumn("rank", F.row_number().over(order)).withColumn("first", F.first("doc_id").over(order)).where("rank > 1")
+    act_of = F.when(F.col("doc_id").eqNullSafe(F.col("first")), "fold").otherwise("drop")
+    listed = cut(placed.select(F.col("text_sha256").alias("__key"), F.col("doc_id").alias("__id"), act_of.alias(act)).distinct())
+    repeats = listed.where(F.col(act) == "fold").limit(1).count() + verified.where("same > 1").limit(1).count()
+
+    hot = verified.select(F.col("text_sha256").alias(key), F.struct("keep_id", "same").alias(keep))
     held = docs.withColumn(key, text_digest(F.col(text_col))).join(F.broadcast(hot), key, "left")
-    # repeated rows of a winner (same id, same text) are folded by a partial aggregate before they meet
-    stayers = held.where(F.col(keep).isNotNull() & F.col(id_col).eqNullSafe(F.col(f"{keep}.keep_id"))).dropDuplicates([key])
-    order = Window.partitionBy(key).orderBy(F.col(id_col).desc_nulls_last())
-    rest = held.where(F.col(keep).isNull()).withColumn("__basalt_rank", F.row_number().over(order)).where("__basalt_rank = 1")
-    return rest.select(docs.columns).unionByName(stayers.select(docs.columns))
+    held = held.join(if_small(listed), (F.col(key) == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    settled = (
+        F.when(F.col(keep).isNull(), F.col(act))
+        .when(~F.col(id_col).eqNullSafe(F.col(f"{keep}.keep_id")), "drop")
+        .when(F.col(f"{keep}.same") > 1, "fold")
+    )
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = held.where(settled.isNull()).select(columns)
+    return kept.unionByName(held.where(settled == "fold").dropDuplicates([key]).select(columns)) if repeats else kept
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, cut, small_batches, table
+from .common import chunks, cut, if_small, small_batches, table
 from .components import components
 from .shingles import U, band_keys, bands_for, mix, shingle_sets, sketches
 
@@ -259,7 +259,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sets = shingle_sets(piece["text"].tolist(), k)
             yield pd.DataFrame({"sid": [set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    texts = base.join(comp.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    texts = base.join(if_small(cut(comp.select(F.col("first_id").alias("doc_id")).distinct())), "doc_id", "left_semi").select("text")
     full = texts.mapInPandas(shingled, "sid binary, shingles array<long>").join(comp, "sid")
     small = full.where("blocks = 1").select("comp", F.lit(0).alias("part"), "sid", F.col("sid").alias("label"), F.lit(True).alias("probe"), "shingles")
     ties = _meet(small, percent)
@@ -292,11 +292,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.min("kept").alias("kept"), F.max("n_shingles").alias("n"), F.count("*").alias("rows")
     )
     verdict = F.when(~F.col("kept"), "drop").when((F.col("rows") > 1) & (F.col("n") > 0), "fold")
-    marked = decided.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key), verdict.alias(action)).where(F.col(action).isNotNull())
+    marked = cut(decided.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key), verdict.alias(action)).where(F.col(action).isNotNull()))
     text_key = F.xxhash64(F.col(text_col))
-    held = docs.join(marked, F.col(id_col).eqNullSafe(F.col(ident)) & (text_key == F.col(key)), "left")
-    folded = held.where(F.col(action) == "fold").dropDuplicates([ident, key])
-    return held.where(F.col(action).isNull()).select(docs.columns).unionByName(folded.select(docs.columns))
+    held = docs.join(if_small(marked), F.col(id_col).eqNullSafe(F.col(ident)) & (text_key == F.col(key)), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = held.where(F.col(action).isNull()).select(columns)
+    if not marked.where(F.col(action) == "fold").limit(1).count():
+        return kept
+    return kept.unionByName(held.where(F.col(action) == "fold").dropDuplicates([ident, key]).select(columns))
 
 
 def op7_near_dedup(spark, sf_dir):
