@@ -232,7 +232,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = f"doc_id {id_type}, text_key long, n_shingles long, sid binary, cid long, bands array<long>, sketch binary"
     made = cut(base.mapInPandas(_sketched(percent, k), schema))
     classes = made.where("sid IS NOT NULL").groupBy("sid")
-    classes = cut(classes.agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("cid").alias("cid"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = cut(classes.agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("cid").alias("cid"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
     member = classes.select("cid", F.explode("bands").alias("key"))
     buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("least")).where("size > 1")
@@ -249,17 +249,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     coarse = components(stars.unionByName(forest))
 
     comp = coarse.select(F.col("node").alias("cid"), F.col("root").alias("comp")).unionByName(coarse.select(F.col("root").alias("cid"), F.col("root").alias("comp")).distinct())
-    comp = comp.join(classes.select("cid", "sid", "first_id", "n"), "cid").drop("cid")
+    comp = comp.join(classes.select("cid", "sid", "rep", "n"), "cid").drop("cid")
     load = comp.groupBy("comp").agg(F.sum("n").alias("shingles"), F.count("*").alias("classes"))
     blocks = F.greatest(F.ceil(F.col("shingles") / TASK_SHINGLES), F.ceil(F.col("classes") / TASK_CLASSES)).cast("int")
     comp = cut(comp.join(load.select("comp", blocks.alias("blocks")), "comp"))
 
     def shingled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for piece in chunks(frames, "text"):
+            piece = piece[~piece["text_key"].isin(seen)].drop_duplicates("text_key")  # repeated rows of a representative
+            seen.update(piece["text_key"])
             sets = shingle_sets(piece["text"].tolist(), k)
             yield pd.DataFrame({"sid": [set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    texts = base.join(if_small(cut(comp.select(F.col("first_id").alias("doc_id")).distinct())), "doc_id", "left_semi").select("text")
+    rep = if_small(cut(comp.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")).distinct()))
+    texts = base.join(rep, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")), "left_semi").select("text_key", "text")
     full = texts.mapInPandas(shingled, "sid binary, shingles array<long>").join(comp, "sid")
     small = full.where("blocks = 1").select("comp", F.lit(0).alias("part"), "sid", F.col("sid").alias("label"), F.lit(True).alias("probe"), "shingles")
     ties = _meet(small, percent)

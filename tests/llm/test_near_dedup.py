@@ -68,6 +68,16 @@ def test_large_buckets_and_components_too_large_for_a_task(spark, monkeypatch):
     assert got(near_dedup.near_groups(docs(spark, rows), k=3, percent=85)) == brute(rows, 3, 85)
 
 
+def test_null_and_repeated_ids_lose_no_link(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:59], "other"]
+    far = [*base[:58], "and", "then"]
+    rows = [(None, " ".join(base)), (8, " ".join(near)), (8, " ".join(far)), (8, " ".join(far)), (None, "alone it stands here"), (None, " ".join(far).upper())] + [(5, " ".join(near))] * 40
+    assert got(near_dedup.near_groups(docs(spark, rows), k=3, percent=85)) == brute(rows, 3, 85)
+    kept = near_dedup.drop_near_copies(docs(spark, rows), k=3, percent=85).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["5", "None"]
+
+
 def test_clashing_columns_and_empty_tables(spark):
     rows = corpus(4, 30)
     frame = clashing(docs(spark, rows))
