@@ -4,7 +4,7 @@ A paragraph is a line of text. Its hashed word 1- to 3-grams go through a softma
 unknown class. Training takes the templates below, each many times with words dropped and strange words put in, and
 ordinary paragraphs of a bounded sample of the corpus as unknown. A second part of both calibrates: the margin over
 unknown that a family must reach is set so that at most `FALSE_ALARMS` of the unknown paragraphs reach it. What reaches
-it is confirmed if it shares enough word pairs with a template of its family.
+it is confirmed if it shares enough word pairs with a template of its family, or holds all of a bare notice of it.
 """
 
 from __future__ import annotations
@@ -72,6 +72,19 @@ TEMPLATES = {
     ),
 }
 FAMILIES = sorted(TEMPLATES)
+#: Bare notices, which name a licence in a few words (fixed values); training drops none of their words.
+NOTICES = {
+    "apache": ("Apache License 2.0", "Apache License, Version 2.0", "Apache License v2.0"),
+    "bsd": ("BSD License", "3-Clause BSD License", "BSD 3-Clause License", "BSD 2-Clause License"),
+    "cc-by": ("CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0"),
+    "cc-by-nc": ("CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    "cc-by-sa": ("CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    "gpl": ("GNU General Public License", "GNU GPL"),
+    "lgpl": ("GNU Lesser General Public License", "GNU LGPL"),
+    "mit": ("MIT License", "The MIT License"),
+    "mpl": ("Mozilla Public License", "Mozilla Public License 2.0"),
+    "proprietary": ("All rights reserved.",),
+}
 
 
 def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,12 +117,14 @@ def word_pairs(text: str) -> set:
 
 
 _PAIRS = {family: [word_pairs(t) for t in texts] for family, texts in TEMPLATES.items()}
+_NOTICE_PAIRS = {family: [word_pairs(t) for t in texts] for family, texts in NOTICES.items()}
 
 
 def likeness(line: str, family: str) -> float:
-    """The share of a template's word pairs that the line has, or of the line's that the template has if at least four; the best of the family."""
+    """The share of a template's word pairs that the line has, or of the line's that the template has if at least four; the best of the family.
+    A line that has all word pairs of a bare notice is like it as a whole; a part of one says nothing."""
     have = word_pairs(line)
-    best = 0.0
+    best = float(any(pairs <= have for pairs in _NOTICE_PAIRS[family]))
     for pairs in _PAIRS[family]:
         common = len(have & pairs)
         best = max(best, common / len(pairs), common / len(have) if len(have) >= 4 else 0.0)
@@ -148,6 +163,12 @@ def noisy(text: str, strange: list[str], rng: np.random.Generator) -> str:
     return " ".join(words)
 
 
+def around(text: str, strange: list[str], rng: np.random.Generator) -> str:
+    """A bare notice, whole, with some strange words before and after."""
+    before, after = ([strange[int(i)] for i in rng.integers(0, len(strange), rng.integers(0, 3))] for _ in range(2))
+    return " ".join([*before, text, *after])
+
+
 def train(unknown: list[str], steps: int = 60, rate: float = 40.0, seed: int = 5) -> Model:
     """A calibrated model; `unknown`: ordinary paragraphs. Half of all examples fit the weights, the other half sets the margin."""
     rng = np.random.default_rng(seed)
@@ -158,6 +179,10 @@ def train(unknown: list[str], steps: int = 60, rate: float = 40.0, seed: int = 5
         for t in TEMPLATES[family]:
             texts += [t, *(noisy(t, strange, rng) for _ in range(COPIES - 1))]
             labels += [k] * COPIES
+        for t in NOTICES[family]:
+            for form in (t.rstrip("."), t.rstrip(".") + "."):
+                texts += [form, form, *(around(form, strange, rng) for _ in range(COPIES // 2 - 2))]
+                labels += [k] * (COPIES // 2)
     texts, y = texts + unknown, np.array(labels + [len(FAMILIES)] * len(unknown))
     texts = [t.replace("\n", " ") for t in texts]
     rows, feats, _, _ = grams(texts)

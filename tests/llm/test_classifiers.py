@@ -175,6 +175,26 @@ def test_licences_agree_with_names_in_the_corpus(corpus):
         assert found[r["doc_id"]] == ",".join(f for f, n in names.items() if n in r["text"])
 
 
+BARE = {
+    "All rights reserved.": "proprietary", "ALL RIGHTS RESERVED": "proprietary", "Copyright 2021 Acme. All rights reserved.": "proprietary", "MIT License": "mit", "The MIT License": "mit", "Apache License 2.0": "apache",
+    "Apache License, Version 2.0": "apache", "BSD 3-Clause License": "bsd", "CC BY 4.0": "cc-by", "CC BY-NC 4.0": "cc-by-nc", "CC BY-SA 4.0.": "cc-by-sa", "GNU General Public License": "gpl", "GNU Lesser General Public License": "lgpl",
+    "Mozilla Public License 2.0": "mpl", "License": "", "All rights": "", "version 4.0 of all": "", "The public was reserved": "", "all roads lead home": "",
+}
+
+
+def test_bare_notices(spark, corpus):
+    got = {r["doc_id"]: r["families"] for r in licenses.scan_licenses(docs(spark, [(i, f"Some words.\n{line}\nMore words") for i, line in enumerate(BARE)]), licenses.fit(corpus[0])).collect()}
+    assert {line: got[i] for i, line in enumerate(BARE)} == BARE
+
+
+def test_every_licence_line_of_the_corpus_counts(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    names = {"apache": "Apache License", "cc-by-nc": "CC BY-NC", "gpl": "GNU General Public", "mit": "MIT License", "proprietary": "All rights reserved"}
+    found = {r["doc_id"]: r["families"] for r in licenses.scan_licenses(documents, licenses.fit(documents)).collect()}
+    want = {r["doc_id"]: ",".join(f for f, n in names.items() if n in r["text"]) for r in documents.collect()}
+    assert found == want and sum(map(bool, want.values())) == 328
+
+
 def test_awkward_rows(spark, corpus):
     documents, labels = corpus
     frame, empty = clashing(docs(spark, AWKWARD)), docs(spark, [])
