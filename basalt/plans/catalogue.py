@@ -130,7 +130,7 @@ def sequential_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts in two loads with a compaction between, one row removed, then a range."""
     e = Engine(spark, scratch(spark))
     e.execute("CREATE TABLE t (o_orderkey INT, o_orderstatus VARCHAR[1])")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 1000").select("o_orderkey", "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     t = SequentialTable(e.store, "t", "o_orderkey")
     t.insert(orders.where("o_orderkey % 2 = 1"))
     t.insert(orders.where("o_orderkey % 2 = 0"))
@@ -209,9 +209,9 @@ def csv_upload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_load_typed_limit10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}.csv"
-    part = table(spark, sf_dir, "part").orderBy("p_partkey").limit(20)
+    part = table(spark, sf_dir, "part").orderBy("p_partkey")
     sales = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("producto"), F.col("p_size").alias("cantidad"), F.col("p_retailprice").alias("precio"), F.lit("10/08/2024").alias("fecha"))
-    sales.coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    sales.write.option("header", True).option("sep", ";").csv(path)
     return csv_source.read_typed(spark, path, first=10)
 
 

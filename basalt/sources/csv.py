@@ -70,12 +70,12 @@ SALES = T.StructType([
 
 
 def read_typed(spark: SparkSession, path: str, schema: T.StructType = SALES, separator: str = ";", first: int | None = None) -> DataFrame:
-    """A CSV file with a header and typed columns; `first` rows in file order, or all."""
+    """A CSV file, or a folder of them, with headers and typed columns; `first` rows by file name and place in the file, or all."""
     rows = spark.read.schema(schema).option("header", True).option("sep", separator).csv(path)
     if first is None:
         return rows
-    order = rows.select("*", F.monotonically_increasing_id().alias("__at"))
-    return order.orderBy("__at").limit(first).drop("__at")
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())  # Spark reads large files first
+    return rows.select("*", at.alias("__at")).orderBy("__at").limit(first).drop("__at")
 
 
 def export(rows: DataFrame, path: str) -> None:

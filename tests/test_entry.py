@@ -31,3 +31,17 @@ def test_against_sql(spark, duck, name):
     got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.execute(catalogue.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_all_orders_go_through_the_sequential_table(spark, monkeypatch):
+    taken, insert = [], catalogue.SequentialTable.insert
+    monkeypatch.setattr(catalogue.SequentialTable, "insert", lambda self, new: taken.append(insert(self, new)) or taken[-1])
+    assert catalogue.sequential_table(spark, "/root/testdata/sf0.01").count() == 100
+    assert sum(taken) == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count() > 1001
+
+
+def test_all_of_part_goes_through_the_csv_file(spark, monkeypatch):
+    held, read = [], catalogue.csv_source.read_typed
+    monkeypatch.setattr(catalogue.csv_source, "read_typed", lambda spark, path, first: held.append(read(spark, path).count()) or read(spark, path, first=first))
+    assert catalogue.csv_load_typed_limit10(spark, SF).count() == 10
+    assert held == [spark.read.parquet(f"{SF}/part.parquet").count()] and held[0] > 20

@@ -52,3 +52,10 @@ def test_http(engine):
         assert not post("/query", {"query": "DROP TABLE u"})["ok"]
     finally:
         server.shutdown()
+
+
+def test_first_rows_come_by_file_name(spark, tmp_path):
+    head = "id;producto;cantidad;precio;fecha\n"
+    (tmp_path / "part-0.csv").write_text(head + "1;a;1;1.0;x\n2;b;1;1.0;x\n")
+    (tmp_path / "part-1.csv").write_text(head + "".join(f"{i};a longer name;1;1.0;x\n" for i in range(3, 50)))
+    assert [r["id"] for r in csv_source.read_typed(spark, str(tmp_path), first=4).collect()] == [1, 2, 3, 4]
