@@ -3,8 +3,9 @@
 Each language has a tree of byte contexts up to order 3 with the counts of what followed them. A byte costs
 -log2(n / (T + D)) bits in the longest context that has seen it, and -log2(D / (T + D)) for each longer context that was
 escaped from (T: all counts of the context, D: distinct bytes; contexts never seen cost nothing). Statistics are frozen
-after training, so the cost of a byte depends on the three before it alone, and the trees of all languages become one
-table of costs by context and byte: a text's exact code length is a sum of table rows.
+after training, so the cost of a byte depends on the three before it alone. A tree holds only what its language has
+shown, as sorted arrays for each order; its size is that of the training sample, whatever the alphabet and the number of
+languages. A text's exact code length is a sum over its 4-byte strings, each distinct one of which is looked up once.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from .common import chunks, crc_bucket, small_batches, table
 
 #: Training documents of each language, about this many at most.
 MOST_DOCS = 400
-#: Most languages, and most cells (4 bytes) of the table of costs; beyond these contexts are cut to order 2.
-MOST_LANGUAGES, MOST_CELLS = 200, 24_000_000
+ORDER = 3
+#: Languages whose costs are side by side, and bytes of a text that are summed at once: these bound memory, not results.
+SIDE_BY_SIDE, SPAN = 16, 1 << 18
 LETTER = regex.compile(r"\p{L}")
 START = b"\n\n\n"
 
@@ -44,68 +46,60 @@ def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "code": codes, "n": n.astype(np.int64)})
 
 
+class Tree:
+    """The contexts of one language: for each order the strings seen with their costs, and the contexts seen with their escapes."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        self.levels = []
+        for order in range(ORDER + 1):
+            seen, at = np.unique(codes & (1 << 8 * (order + 1)) - 1, return_inverse=True)
+            counts = np.bincount(at, n, len(seen))
+            contexts, first, distinct = np.unique(seen >> 8, return_index=True, return_counts=True)
+            whole = np.add.reduceat(counts, first) + distinct
+            own, escape = -np.log2(counts / np.repeat(whole, distinct)), -np.log2(distinct / whole)
+            self.levels.append((seen.astype(np.uint32), own.astype(np.float32), contexts.astype(np.uint32), escape.astype(np.float32)))
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each 4-byte string."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for order in range(ORDER, -1, -1):
+            seen, own, contexts, escape = self.levels[order]
+            code = codes[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at = np.searchsorted(seen[:-1], code)
+            hit = seen[at] == code
+            out[left[hit]] += own[at[hit]]
+            left, code = left[~hit], code[~hit] >> np.uint32(8)
+            at = np.searchsorted(contexts[:-1], code)
+            out[left] += np.where(contexts[at] == code, escape[at], 0)
+        out[left] += 8
+        return out
+
+
 class Model:
-    """The context trees of all languages as one table of costs."""
+    """The context trees of all languages."""
 
     def __init__(self, grams: pd.DataFrame):
         self.langs = sorted(grams["lang"].unique())
         codes, n = grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)
         which = np.searchsorted(self.langs, grams["lang"].to_numpy()) if self.langs else np.empty(0, np.int64)
-        seen = np.zeros(256, bool)
-        for shift in (0, 8, 16, 24):
-            seen[codes >> shift & 255] = True
-        self.symbol = np.zeros(256, np.int64)  # 0: any byte that training never saw
-        self.symbol[seen] = np.arange(1, seen.sum() + 1)
-        a = self.width = int(seen.sum()) + 1
-        s = [self.symbol[codes >> shift & 255] for shift in (24, 16, 8, 0)]
-        context = (s[0] * a + s[1]) * a + s[2]
-        states = np.unique(context)
-        order3 = (len(states) + a * a) * a * len(self.langs) <= MOST_CELLS
-        states = states if order3 else states[:0]
-        self.row = np.tile(np.arange(a * a, dtype=np.int32), a) + np.int32(len(states))
-        self.row[states] = np.arange(len(states), dtype=np.int32)
-        self.cost = np.zeros(((len(states) + a * a) * a, max(1, len(self.langs))), np.float32)
-        for k in range(len(self.langs)):
-            m = which == k
-            count = lambda *parts, m=m: self._count(a, [p[m] for p in parts], n[m])
-            low = np.full((1, a), np.log2(256.0))
-            low = self._blend(count(s[3]).reshape(1, a), low)
-            low = self._blend(count(s[2], s[3]).reshape(a, a), np.repeat(low, a, 0))
-            low = self._blend(count(s[1], s[2], s[3]).reshape(a * a, a), np.tile(low, (a, 1)))
-            self.cost[len(states) * a :, k] = low.ravel()
-            if len(states):
-                counts = np.zeros((len(states), a))
-                np.add.at(counts, (self.row[context[m]], s[3][m]), n[m])
-                self.cost[: len(states) * a, k] = self._blend(counts, low[states % (a * a)]).ravel()
-
-    @staticmethod
-    def _count(a: int, parts: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-        code = 0
-        for p in parts:
-            code = code * a + p
-        return np.bincount(code, n, a ** len(parts))
-
-    @staticmethod
-    def _blend(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = -np.log2(counts / (total + distinct))
-            escape = -np.log2(distinct / (total + distinct))
-        return np.where(total == 0, lower, np.where(counts > 0, own, escape + lower))
+        order = np.argsort(which, kind="stable")
+        ends = np.cumsum(np.bincount(which, minlength=len(self.langs)))[:-1] if self.langs else []
+        self.trees = [Tree(codes[i], n[i]) for i in np.split(order, ends)] if self.langs else []
 
     def code_lengths(self, texts: list) -> np.ndarray:
         """Bits for each text and language."""
         data = [text_bytes(t) for t in texts]
         ends = np.cumsum([len(d) for d in data])
-        s = self.symbol[np.frombuffer(b"".join(data), np.uint8)]
-        a = self.width
+        b = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
         out = np.zeros((len(data), len(self.langs)))
-        if len(s) > 3:
-            index = self.row[(s[:-3] * a + s[1:-2]) * a + s[2:-1]].astype(np.int64) * a + s[3:]
+        if len(b) > ORDER:
+            codes, index = np.unique(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], return_inverse=True)
             starts = np.concatenate(([0], ends[:-1]))
-            for i, (start, end) in enumerate(zip(starts.tolist(), (ends - 3).tolist(), strict=True)):
-                if end > start:
-                    out[i] = self.cost[index[start:end]].sum(0, dtype=np.float64)
+            for k in range(0, len(self.trees), SIDE_BY_SIDE):
+                cost = np.stack([tree.costs(codes) for tree in self.trees[k : k + SIDE_BY_SIDE]], 1).astype(np.float32)
+                for i, (start, end) in enumerate(zip(starts.tolist(), (ends - ORDER).tolist(), strict=True)):
+                    for at in range(start, end, SPAN):
+                        out[i, k : k + SIDE_BY_SIDE] += cost[index[at : min(end, at + SPAN)]].sum(0, dtype=np.float64)
         return out
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
@@ -129,12 +123,9 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
     result is bounded by that sample.
     """
     small_batches(docs.sparkSession)
-    usable = docs.where(F.col("lang").isNotNull() & (crc_bucket(F.col("doc_id"), 3) != 1))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return Model(pd.DataFrame({"lang": [], "code": [], "n": []}))
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, most_docs / r["count"]))))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_000)
+    usable = docs.where(F.col("lang").isNotNull() & (crc_bucket(F.col("doc_id"), 3) != 1)).select("doc_id", "lang", "text")
+    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), most_docs / F.count("*")).alias("share"))  # one row for each language
+    chosen = usable.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     grams = chosen.select("lang", "text").mapInPandas(count_grams, "lang string, code long, n long")
     return Model(grams.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas())
 

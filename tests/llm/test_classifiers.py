@@ -148,6 +148,35 @@ def test_code_lengths_by_walking_the_tree():
         assert model.code_lengths([text])[0] == pytest.approx([bits("x", text), bits("y", text)], abs=1e-3)
 
 
+def test_order_3_holds_for_many_bytes_and_languages():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    letters = [chr(i) for i in (*range(33, 127), *range(0x80, 0x800, 17), *range(0x800, 0xD7FF, 251))]
+    texts = {f"l{k:02}": "".join(rng.choice(letters, 300)) for k in range(20)}
+    grams = pd.concat(list(language.count_grams(iter([pd.DataFrame(list(texts.items()), columns=["lang", "text"])]))))
+    model = language.Model(grams)
+    assert len({b for t in texts.values() for b in language.text_bytes(t)}) ** 3 * len(texts) > 24_000_000  # cells of a table of all contexts
+    for k, text in enumerate(texts.values()):
+        b = language.text_bytes(text)
+        want = 0.0
+        for i in range(3, len(b)):  # in its own text every context of order 3 has been seen
+            after = [b[j] for j in range(3, len(b)) if b[j - 3 : j] == b[i - 3 : i]]
+            want -= np.log2(after.count(b[i]) / (len(after) + len(set(after))))
+        assert model.code_lengths([text])[0, k] == pytest.approx(want, rel=1e-5)
+
+
+def test_every_language_can_be_predicted(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    texts = {f"l{k:03}": " ".join("".join(rng.choice(letters, 6)) for _ in range(8)) for k in range(210)}
+    rows = [(i, text, lang, None) for i, (lang, text) in enumerate((x, t) for x, t in texts.items() for _ in range(6))]
+    train = docs(spark, rows)
+    got = {r["lang_pred"] for r in language.identify(train, language.fit(train)).collect()}
+    learnt = {lang for i, _, lang, _ in rows if bucket(i, 3) != 1}
+    assert got == learnt and len(learnt) > 200
+
+
 def test_language_without_letters(spark):
     train = docs(spark, [(i, "the cat and the dog" if i % 2 else "le chat et le chien", "en" if i % 2 else "fr", None) for i in range(40)])
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs(spark, [(1, None), (2, ""), (3, "12 !?"), (4, "the dog"), (5, "le chien")]), language.fit(train)).collect()}
