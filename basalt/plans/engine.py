@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,8 @@ from .expr import Compiler
 from .lexer import SqlError
 from .parser import parse
 
-#: Hash buckets of an index, and rows that a JSON answer holds.
-BUCKETS, MOST_ROWS = 64, 10_000
+#: Hash buckets of an index.
+BUCKETS = 64
 
 
 @dataclass
@@ -55,16 +56,29 @@ class Engine:
         return result.rows
 
     def answer(self, text: str) -> dict:
-        """The statement's result as plain data: `{"ok": True, "result": ...}`, or `{"ok": False, "error": ...}`."""
+        """The statement's result as plain data: `{"ok": True, "result": ...}`, or `{"ok": False, "error": ...}`. A SELECT's rows are all held; see `answer_pieces`."""
+        return json.loads("".join(self.answer_pieces(text)))
+
+    def answer_pieces(self, text: str) -> Iterator[str]:
+        """The JSON text of `answer` in pieces, all rows of a SELECT one by one: the driver holds one partition at a time.
+
+        `ok` comes last: where a later row fails, the rows before it are followed by `"ok": false` and the error.
+        """
+        opened = False
         try:
             result = self.execute(text)
             if result.rows is None:
-                return {"ok": True, "result": {"success": True, "message": result.message, "count": result.count}}
-            lines = result.rows.limit(MOST_ROWS).toJSON().toLocalIterator()
+                yield json.dumps({"ok": True, "result": {"success": True, "message": result.message, "count": result.count}})
+                return
             names = result.rows.columns
-            return {"ok": True, "result": [{n: row.get(n) for n in names} for row in map(json.loads, lines)]}
+            for line in result.rows.toJSON().toLocalIterator():
+                row = json.loads(line)
+                yield (", " if opened else '{"result": [') + json.dumps({n: row.get(n) for n in names})
+                opened = True
+            yield ("" if opened else '{"result": [') + '], "ok": true}'
         except Exception as problem:
-            return {"ok": False, "error": str(problem).splitlines()[0] if str(problem) else type(problem).__name__}
+            error = json.dumps({"ok": False, "error": str(problem).splitlines()[0] if str(problem) else type(problem).__name__})
+            yield "], " + error[1:] if opened else error
 
     def _createtable(self, s: ast.CreateTable) -> Result:
         self.store.create(s.table, [(c.name, c.type) for c in s.columns])

@@ -59,3 +59,28 @@ def test_first_rows_come_by_file_name(spark, tmp_path):
     (tmp_path / "part-0.csv").write_text(head + "1;a;1;1.0;x\n2;b;1;1.0;x\n")
     (tmp_path / "part-1.csv").write_text(head + "".join(f"{i};a longer name;1;1.0;x\n" for i in range(3, 50)))
     assert [r["id"] for r in csv_source.read_typed(spark, str(tmp_path), first=4).collect()] == [1, 2, 3, 4]
+
+
+def test_query_returns_every_row(engine, spark):
+    engine.execute("CREATE TABLE many (id INT, v INT)")
+    engine.store.append("many", spark.range(10_500).selectExpr("cast(id AS int) id", "cast(nullif(id % 3, 0) AS int) v"))
+    server = serve(engine, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        data = json.dumps({"query": "SELECT id, v FROM many ORDER BY id"}).encode()
+        with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}/query", data=data)) as reply:
+            got = json.load(reply)
+    finally:
+        server.shutdown()
+    assert got == {"ok": True, "result": [{"id": i, "v": i % 3 or None} for i in range(10_500)]}
+
+
+def test_a_row_that_fails_after_others_is_told(engine, spark, monkeypatch):
+    from basalt.plans.engine import Result
+
+    rows = spark.range(0, 100, 1, 4).selectExpr("if(id < 90, id, raise_error('row ninety')) AS id")
+    monkeypatch.setattr(engine, "execute", lambda text: Result(rows=rows))
+    got = engine.answer("SELECT id FROM t")
+    assert not got["ok"] and got["error"] and [r["id"] for r in got["result"]][:75] == list(range(75))
+    monkeypatch.setattr(engine, "execute", lambda text: Result(rows=rows.limit(0)))
+    assert engine.answer("SELECT id FROM t") == {"ok": True, "result": []}
