@@ -5,7 +5,8 @@ first character of a run or at the end of the match before (`\\G`), and repeat p
 is passed once, and no repetition recurses. A text with no `@`, `+` or digit skips the patterns that need one.
 
 Kinds: email, ip, card and phone as their patterns say (the base); iban (checked mod 97) and ssn, which counts only
-beside words that name it. Every span has a score: what its kind gives, raised by context words nearby.
+beside words that name it. Of an iban printed in groups of four the pattern finds the head; mod 97 tells how many of the
+groups after it belong to it. Every span has a score: what its kind gives, raised by context words nearby.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9_])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9_])|(?=(?:\x20[A-Z0-9]{4}){2}\x20[A-Z0-9]))",
     "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
 }
+#: An iban printed in groups, with what may follow it.
+GROUPS = r"^[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"
 #: What a text must hold for the pattern to have a chance.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]"}
 #: (score alone, score beside context words, context words)
@@ -67,6 +70,20 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
+def _with_groups(x: Column) -> Column:
+    """A match of the iban pattern; a head alone is led on over the most groups that pass the check."""
+    groups = F.split(F.regexp_extract(F.substr(F.col("__text"), x.start + 1, F.lit(43)), GROUPS, 0), " ")
+    sizes = F.reverse(F.sequence(F.lit(4), F.greatest(F.size(groups), F.lit(4))))
+    fits = F.filter(F.transform(sizes, lambda n: F.array_join(F.slice(groups, F.lit(1), n), " ")), _iban)
+    whole = F.when(F.length(x.match) > 4, x.match).otherwise(F.coalesce(F.get(fits, F.lit(0)), x.match))
+    return F.struct(x.start.alias("start"), (x.start + F.length(whole)).alias("end"), whole.alias("match"))
+
+
+def _iban(match: Column) -> Column:
+    code = F.replace(match, F.lit(" "), F.lit(""))
+    return F.when(F.length(code).between(15, 34), mod97(code)).otherwise(False)
+
+
 def _confirmed(kind: str, match: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(match, r"\."), lambda part: part.rlike(r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"))
@@ -75,7 +92,7 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(16, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(match)).between(8, 15)
-    return mod97(match) if kind == "iban" else F.lit(True)
+    return _iban(match) if kind == "iban" else F.lit(True)
 
 
 def _located(frame: DataFrame, kind: str) -> DataFrame:
@@ -127,6 +144,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     frame = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     for kind in KINDS:
         frame = _located(frame, kind)
+        if kind == "iban":
+            frame = frame.withColumn("__iban", F.transform("__iban", _with_groups))
         good = _good(kind)
         frame = frame.withColumn(f"__{kind}", good if kind in BASE else F.filter(good, lambda x: x.score >= THRESHOLD))
     return frame.select("doc_id", F.concat(*(F.col(f"__{k}") for k in KINDS)).alias("found"))

@@ -49,6 +49,17 @@ def test_added_kinds(spark):
     assert extra(9) == [("iban", 5, 27)] and extra(10) == [("ssn", 29, 40)] and extra(11) == []
 
 
+def test_printed_ibans(spark):
+    a, b, c, d = "DE89 3704 0044 0532 0130 00", "BE68 5390 0754 7034", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    texts = [
+        f"IBAN {a}, pay", f"ñ {b} BIC KREDBEBB", f"{b} {a} {c}\n{d} 12 MORE WORDS", "DE89 3704 0044 0532 0130 01", f"x{a}", a.replace(" ", "  "), a + "1", f"{a} DE89370400440532013000 {c}",
+        "AB12 3456 7890 12345", "AB12 3456 7890 1", "AB12 CDEF GHIJ",
+    ]
+    got = spans(pii.find_pii(docs(spark, list(enumerate(texts)))))
+    found = [[texts[i][s:e] for k, s, e in got[i] if k == "iban"] for i in range(len(texts))]
+    assert found == [[a], [b], [b, a, c, d], [], [], [], [], [a, a.replace(" ", ""), c], [], [], []]
+
+
 def test_context_raises_the_score(spark):
     rows = [(1, "call me on +1 (243) 555-5526"), (2, "blah blah +1 (243) 555-5526")]
     got = {r["doc_id"]: r["found"][0]["score"] for r in pii.find_pii(docs(spark, rows)).collect()}
