@@ -49,8 +49,10 @@ def chunks(frames: Iterator[pd.DataFrame], text_col: str, max_chars: int = 1_000
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows for each Arrow batch: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Fewer rows for each Arrow batch, as texts may be long; a session that has set its own number keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default; plans read the setting when they run, so it stays
+        spark.conf.set(key, str(rows))
 
 
 #: Rows that `if_small` broadcasts at most; its callers' rows are under 100 bytes.

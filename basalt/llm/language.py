@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_bucket, small_batches, table
+from .samples import bounded_by
 
-#: Training documents of each language, about this many at most.
+#: Training documents of each language at most.
 MOST_DOCS = 400
 ORDER = 3
 #: Languages whose costs are side by side, and bytes of a text that are summed at once: these bound memory, not results.
@@ -119,13 +120,12 @@ class Model:
 def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
     """Trees from text and non-null lang of documents whose crc32 of the id modulo 3 is not 1.
 
-    Documents are chosen by the hash of the id, about `most_docs` of each language; the counting is distributed and its
-    result is bounded by that sample.
+    Documents are chosen by the hash of id and text, `most_docs` of each language at most; the counting is distributed and
+    its result is bounded by that sample.
     """
     small_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & (crc_bucket(F.col("doc_id"), 3) != 1)).select("doc_id", "lang", "text")
-    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), most_docs / F.count("*")).alias("share"))  # one row for each language
-    chosen = usable.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    chosen = bounded_by(usable, "lang", most_docs, ["doc_id", "text"])
     grams = chosen.select("lang", "text").mapInPandas(count_grams, "lang string, code long, n long")
     return Model(grams.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas())
 

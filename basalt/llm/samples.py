@@ -1,20 +1,53 @@
-"""Bounded samples of labelled rows for fitting classifiers."""
+"""Bounded samples of rows for fitting classifiers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import crc_bucket
 
+#: Own columns of these samples.
+HASH, RANK, ID, LABEL = "__basalt_hash", "__basalt_rank", "__basalt_id", "__basalt_label"
+
+
+def _below(share: float | Column) -> Column:
+    """Whether the hash of a row lies in the lowest `share` of all hashes."""
+    return F.col(HASH).cast("double") <= F.lit(share) * float(2**64) - float(2**63)
+
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, held_mod: int = 5, held: int = 0) -> DataFrame:
-    """(doc_id, text, label) of about `most` labelled documents at most whose crc32 of the id modulo `held_mod` is not `held`.
+def bounded(rows: DataFrame, most: int, by: Sequence[str]) -> DataFrame:
+    """`most` rows of `rows` at most, chosen by the hash of the columns `by`, with that hash as `__basalt_hash`.
 
-    Ids are chosen by hash, so reruns agree; the chosen labels are few by construction and are broadcast.
+    Rows alike in `by` count once; reruns agree. A first cut by the hash leaves about twice as many rows as are wanted (by an
+    estimate of how many differ), so that no task holds more; the exact bound comes after it. `by` names a text beside the id, so that rows with null
+    or repeated ids are spread like any others.
     """
+    hashed = rows.withColumn(HASH, F.xxhash64(*by))
+    share = min(1.0, 2 * most / max(1, hashed.agg(F.approx_count_distinct(HASH)).first()[0]))
+    few = hashed.where(_below(share))
+    return few.dropDuplicates([HASH]).orderBy(HASH).limit(most)
+
+
+def bounded_by(rows: DataFrame, group: str, most: int, by: Sequence[str]) -> DataFrame:
+    """Like `bounded`, `most` rows of each value of `group` at most."""
+    hashed = rows.withColumn(HASH, F.xxhash64(*by))
+    shares = hashed.groupBy(group).agg(F.least(F.lit(1.0), 2 * most / F.approx_count_distinct(HASH)).alias("__basalt_share"))  # one row for each value
+    few = hashed.join(F.broadcast(shares), group).where(_below(F.col("__basalt_share")))
+    few = few.drop("__basalt_share").dropDuplicates([group, HASH])
+    return few.withColumn(RANK, F.row_number().over(Window.partitionBy(group).orderBy(HASH))).where(F.col(RANK) <= most).drop(RANK)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, value: int | None = None, held_mod: int = 5, held: int = 0) -> DataFrame:
+    """(text, label, __basalt_hash) of `most` labelled documents at most whose crc32 of the id modulo `held_mod` is not `held`;
+    with `value` only those with that label. Ids of any type; rows without id or label are none. Ids labelled twice take the higher label."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), held_mod) != held))
-    share = min(1.0, most / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    chosen = chosen.groupBy(F.col("doc_id").alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    usable = usable.groupBy(F.col("doc_id").alias(ID)).agg(F.max(label_col).cast("int").alias(LABEL))
+    chosen = bounded(usable if value is None else usable.where(F.col(LABEL) == value), most, [ID]).drop(HASH)
+    texts = docs.select(F.col("doc_id").alias("__basalt_doc"), F.col("text").alias("text"))
+    found = texts.join(F.broadcast(chosen), F.col("__basalt_doc") == F.col(ID))  # `most` rows at most are broadcast
+    found = found.withColumn(HASH, F.xxhash64(ID, "text")).dropDuplicates([HASH]).orderBy(HASH).limit(most)
+    return found.select("text", F.col(LABEL).alias("label"), HASH)

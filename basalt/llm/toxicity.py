@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, crc_bucket, small_batches, table, utf8
 from .decontaminate import WORD_BYTES
-from .samples import labelled_sample
+from .samples import HASH, labelled_sample
 
 #: Labelled rows that training takes at most.
 MOST_LABELLED = 3000
@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Networ
     small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, "toxic", most).toPandas()
     rows["text"] = rows["text"].fillna("")
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
+    rows = rows.sort_values(HASH, kind="stable")
     return train(rows["text"].tolist(), rows["label"].to_numpy())
 
 
