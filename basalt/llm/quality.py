@@ -2,25 +2,32 @@
 
 Trusted positives and unlabelled text give the non-negative unbiased risk
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]),   l(z) = 1 / (1 + e^z),
-which is minimised for a small network over text statistics. The unlabelled set is the labelled sample with its labels
-hidden; the class prior is the share of positives in that sample, unless it is given.
+which is minimised for a small network over text statistics. Positives are documents labelled 1; the unlabelled set is a
+sample of all documents that are not held out, whatever their labels. Labels of negatives are never read.
+
+The class prior is estimated from these two sets: a network tells positives from unlabelled text on one half of each; on
+the other half, the share of unlabelled text above a cut over that of positives above it bounds the prior from above, and
+comes near it where the cut leaves out the negatives. The cut with the least upper confidence bound is taken, and the
+halves take turns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_bucket, small_batches, table, utf8
-from .samples import labelled_sample
+from .samples import HASH, bounded, labelled_sample
 
-#: Labelled rows that training takes at most.
-MOST_LABELLED = 6000
+#: Positives, and unlabelled documents, that training takes at most.
+MOST_LABELLED, MOST_UNLABELLED = 6000, 6000
+#: Bounds of an estimated prior; chance that its confidence bound fails.
+LEAST_PRIOR, DELTA = 0.02, 0.1
 _GROUPS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r", b".", b",;:", b"!?", b"|", b"#$%&*@^~=+<>", b"'\"()[]{}-_/\\", bytes(range(128, 256)))
 CLASSES = len(_GROUPS) + 1
 _CLASS = np.zeros(256, np.int32)
@@ -62,40 +69,28 @@ class Network:
         self.mean, self.scale = mean, scale
         self.p = [rng.normal(0, 1 / np.sqrt(len(mean)), (len(mean), hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.clip((x - self.mean) * self.scale, -6, 6)
-        h = np.tanh(x @ self.p[0] + self.p[1])
-        return h @ self.p[2] + self.p[3][0], h, x
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) * self.scale, -6, 6)
+
+    def forward(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(g, hidden units) of standardised features."""
+        h = np.tanh(z @ self.p[0] + self.p[1])
+        return h @ self.p[2] + self.p[3][0], h
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(x)[0], -30, 30)))
+        return _sigmoid(self.forward(self.standard(x))[0])
 
     def gradient(self, x: np.ndarray, h: np.ndarray, dg: np.ndarray) -> list[np.ndarray]:
         dh = np.outer(dg, self.p[2]) * (1 - h * h)
         return [x.T @ dh, dh.sum(0), h.T @ dg, np.array([dg.sum()])]
 
 
-def train(x: np.ndarray, label: np.ndarray, prior: float | None = None, steps: int = 600, rate: float = 0.01, l2: float = 1e-3) -> Network:
-    """Non-negative PU risk, full batch, Adam. `label` tells the trusted positives (1); all rows are the unlabelled set."""
-    x = x.astype(np.float64)
-    if not len(x):
-        x, label = np.zeros((1, WIDTH)), np.ones(1)
-    prior = prior if prior is not None else float(np.clip(label.mean(), 0.05, 0.95))
-    std = x.std(0)
-    net = Network(x.mean(0), np.where(std > 1e-6, 1 / np.maximum(std, 1e-6), 0.0))
-    pos = np.flatnonzero(label == 1)
-    first, second = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p]
+def _descend(net: Network, x: np.ndarray, slopes: Callable[[np.ndarray], np.ndarray], steps: int, rate: float, l2: float) -> Network:
+    """Full batch, Adam; `slopes` gives the derivative of the risk by each row's g."""
+    first, second, z = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p], net.standard(x)
     for step in range(1, steps + 1):
-        g, h, z = net.forward(x)
-        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # l(-g) = s, l(g) = 1 - s
-        slope = s * (1 - s)
-        negative = s.mean() - prior * s[pos].mean() if len(pos) else s.mean()
-        for_p, for_n = np.zeros(len(x)), slope / len(x)
-        if len(pos):
-            for_p[pos] = -prior * slope[pos] / len(pos)
-            for_n[pos] -= prior * slope[pos] / len(pos)
-        dg = for_p + for_n if negative >= 0 else -for_n
-        for k, grad in enumerate(net.gradient(z, h, dg)):
+        g, h = net.forward(z)
+        for k, grad in enumerate(net.gradient(z, h, slopes(g))):
             grad = grad + l2 * net.p[k] * (k % 2 == 0)
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.999 * second[k] + 0.001 * grad * grad
@@ -103,19 +98,73 @@ def train(x: np.ndarray, label: np.ndarray, prior: float | None = None, steps: i
     return net
 
 
+def _network(x: np.ndarray) -> Network:
+    std = x.std(0)
+    return Network(x.mean(0), np.where(std > 1e-6, 1 / np.maximum(std, 1e-6), 0.0))
+
+
+def _sigmoid(g: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 150, rate: float = 0.01, l2: float = 1e-3) -> float:
+    """The share of positives in the unlabelled rows, from features of both; 0.5 where one of them has fewer than four rows."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    found = []
+    for half in (0, 1):  # each half in turn is held out, so that the estimate is of the whole sample
+        p, u = positive[half::2].astype(np.float64), unlabelled[half::2].astype(np.float64)
+        x, y = np.vstack((p, u)), np.concatenate((np.ones(len(p)), np.zeros(len(u))))
+        weight = np.where(y == 1, 0.5 / len(p), 0.5 / len(u))
+        net = _descend(_network(x), x, lambda g, y=y, weight=weight: (_sigmoid(g) - y) * weight, steps, rate, l2)
+        held_p, held_u = np.sort(net.score(positive[1 - half :: 2])), np.sort(net.score(unlabelled[1 - half :: 2]))
+        above_p = 1 - np.arange(len(held_p)) / len(held_p)  # with the cut at each held positive
+        above_u = 1 - np.searchsorted(held_u, held_p, "left") / len(held_u)
+        doubt = np.sqrt(np.log(4 / DELTA) / (2 * len(held_u))) + np.sqrt(np.log(4 / DELTA) / (2 * len(held_p)))
+        best = int(((above_u + doubt) / above_p).argmin())
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), LEAST_PRIOR, 1 - LEAST_PRIOR))
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 600, rate: float = 0.01, l2: float = 1e-3) -> Network:
+    """Minimises the non-negative PU risk of features of trusted positives and of unlabelled rows; the prior is estimated where it is not given."""
+    prior = prior if prior is not None else estimate_prior(positive, unlabelled)
+    x = np.vstack((positive, unlabelled)).astype(np.float64)
+    if not len(x):
+        x = np.zeros((1, WIDTH))
+    n, m = len(positive), max(1, len(x) - len(positive))
+
+    def slopes(g: np.ndarray) -> np.ndarray:
+        s = _sigmoid(g)  # l(-g) = s, l(g) = 1 - s
+        slope = s * (1 - s)
+        for_p, for_n = np.zeros(len(x)), slope / m
+        negative = s[n:].mean() if len(s) > n else 0.0
+        if n:
+            for_p[:n] = for_n[:n] = -prior * slope[:n] / n
+            negative -= prior * s[:n].mean()
+        return for_p + for_n if negative >= 0 else -for_n
+
+    return _descend(_network(x), x, slopes, steps, rate, l2)
+
+
 def _features_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for piece in chunks(frames, "text"):
-        yield pd.DataFrame({"doc_id": piece["doc_id"], "label": piece["label"], "x": list(features(piece["text"].tolist()))})
+        yield pd.DataFrame({"hash": piece[HASH], "x": list(features(piece["text"].tolist()))})
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most: int = MOST_LABELLED) -> Network:
-    """A network from `labels.quality` of rows that are not held out (crc32 of the id modulo 5 is not 0)."""
+def _matrix(sample: DataFrame) -> np.ndarray:
+    """Features of a sample's texts, in the order of its hashes."""
+    rows = sample.select(HASH, "text").mapInPandas(_features_of, "hash long, x array<float>").toPandas().sort_values("hash", kind="stable")
+    return np.array(rows["x"].tolist(), np.float32).reshape(len(rows), WIDTH)
+
+
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most: int = MOST_LABELLED, most_unlabelled: int = MOST_UNLABELLED) -> Network:
+    """A network from documents with `labels.quality` of 1 and from unlabelled ones; rows that are held out (crc32 of the id
+    modulo 5 is 0) are in neither sample. Ids of any type; a null id takes part in the unlabelled sample."""
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "quality", most).mapInPandas(_features_of, "doc_id long, label int, x array<float>")
-    rows = sample.toPandas().sort_values("doc_id", kind="stable")
-    x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), WIDTH)
-    order = np.lexsort((x[:, -1], x[:, 0], rows["doc_id"].to_numpy())) if len(rows) else []
-    return train(x[order], rows["label"].to_numpy()[order], prior)
+    positive = _matrix(labelled_sample(docs, labels, "quality", most, value=1))
+    free = docs.where(crc_bucket(F.col("doc_id"), 5) != 0).select("doc_id", "text")
+    return train(positive, _matrix(bounded(free, most_unlabelled, ["doc_id", "text"])), prior)
 
 
 def score_quality(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -137,17 +186,22 @@ def score_quality(docs: DataFrame, model: Network, id_col: str = "doc_id", text_
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, model: Network, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that score `threshold` or more, with all their columns."""
-    small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def quality_of(model: Network, text: Column) -> Column:
+    """The score of a text column, as a column."""
+    held = SparkSession.active().sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             scores = [held.value.score(features(p["t"].tolist())) for p in chunks(iter([texts.to_frame("t").reset_index(drop=True)]), "t")]
             yield pd.Series(np.concatenate(scores) if scores else np.empty(0))
 
-    return docs.where(F.pandas_udf(score, "double")(F.col(text_col)) >= threshold)
+    return F.pandas_udf(score, "double")(text)
+
+
+def keep_quality(docs: DataFrame, model: Network, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` that score `threshold` or more, with all their columns."""
+    small_batches(docs.sparkSession)
+    return docs.where(quality_of(model, F.col(text_col)) >= threshold)
 
 
 def op1_quality(spark, sf_dir):
