@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, ascii_lower, table
 
 DIM, GRAMS = 1 << 16, (3, 4, 5)
-#: How much more a row to block counts than one to allow.
-BLOCK_WEIGHT = 2.0
+#: What all rows to block together count beside all rows to allow.
+BLOCK_WEIGHT = 4.0
 #: Most labelled rows that `train` takes from a table.
 MOST_LABELLED = 50_000
 
@@ -30,23 +30,40 @@ RULES = (
     ("block", "org/es/"),
 )
 
-_BAD = "casino-win casino online-casino free-bets bets-now bet365x spam-farm spamlinks adult-x adult-cams xxx-tube ads-track ad-server tracker-ads poker-win lotto-jackpot cheap-pills viagra-shop payday-loan porn-hub".split()
+#: Words of unwanted and of ordinary sites, and what stands around them in names (fixed values).
+_BAD = (
+    "casino poker bets betting jackpot slots lotto roulette pills viagra pharma steroids adult xxx porn sex cams escorts spam ads adserver banners popups "
+    "clickbait tracker payday loans warez cracks keygen torrents malware phishing replica"
+).split()
 _GOOD = (
     "news library university museum weather science garden cooking history sports travel music theatre bakery school council journal wiki docs river "
     "hospital orchestra transport elections recipes chemistry athletics gallery parliament physics mountain harbour thinking northern weekly reading "
     "medicine hiking island teachers printing festival railway planning forest teaching astronomy cathedral heritage research volunteers engineering"
 ).split()
+_ONSETS, _VOWELS, _CODAS = "b c d f g h k l m n p r s t v w br ch cl cr dr fl gr pl pr sh st th tr wh".split(), "a e i o u ai ea ee io ou".split(), ["", "", *"n r s t l nd nt ng st sh th ck".split()]
+#: Made-up ordinary names in the built-in table.
+MADE_UP = 500
+_AROUND = ("{}", "best-{}", "{}-zone", "my{}", "{}hub", "top-{}", "{}4u", "the-{}-club", "{}-online", "{}s-daily")
 
 
 def default_labelled() -> list[tuple[str, int]]:
-    """The built-in labelled URL table, (url, 1 = block): names of unwanted and of ordinary sites under several hosts."""
+    """The built-in labelled URL table, (url, 1 = block): names made of unwanted and of ordinary words in the same forms, under
+    several hosts. Every word stands in four forms as a host, alone as another, and some in a path. Made-up names of one to four
+    syllables are ordinary, so that a name is not unwanted for being strange."""
+    rng = np.random.default_rng(17)
     out = [("", 0)]
-    for i, good in enumerate(_GOOD):
-        tld, sub, lang = ("com", "net", "org")[i % 3], ("www.", "", "blog.", "m.")[i % 4], ("en", "fr", "de", "es")[i // 3 % 4]
-        out += [(f"https://{sub}{good}.example.{tld}/{lang}/{i * 37}", 0), (f"http://{good}.{tld}/", 0), (f"https://{sub}{good}.{tld}/{lang}/{_GOOD[i - 1]}.html", 0)]
-        if i < len(_BAD):
-            bad = _BAD[i]
-            out += [(f"https://{sub}{bad}.example.{tld}/{lang}/{i * 37}", 1), (f"http://{bad}.{tld}/", 1), (f"https://{good}.example.{tld}/{bad}/page", 1)]
+    tlds, subs, langs = ("com", "net", "org"), ("", "www.", "blog.", "m."), ("en", "fr", "de", "es")
+    for label, words in ((0, _GOOD), (1, _BAD)):
+        for i, word in enumerate(words):
+            for k, sub in enumerate(subs):
+                name = _AROUND[(i * 3 + k) % len(_AROUND)].format(word)
+                out.append((f"https://{sub}{name}{('.example', '')[(i + k) % 2]}.{tlds[(i + k) % 3]}/{langs[(i // 3 + k) % 4]}/{i * 37 + k}{('', '.html', '/')[(i // 2 + k) % 3]}", label))
+            out.append((f"http://{word}.{tlds[i % 3]}/", label))
+            if label or i % 2:
+                out.append((f"https://{_GOOD[(i + 7) % len(_GOOD)]}.example.{tlds[i % 3]}/{word}/page", label))
+    for i in range(MADE_UP):
+        name = "".join("".join(part[int(rng.integers(len(part)))] for part in (_ONSETS, _VOWELS, _CODAS)) for _ in range(1 + i % 4))
+        out.append((f"https://{subs[i // 3 % 4]}{name}{('.example', '')[i % 2]}.{tlds[i % 3]}/{langs[i // 12 % 4]}/{i * 37}{('', '.html', '/')[i % 3]}", 0))
     return out
 
 
@@ -104,14 +121,15 @@ def _scores(rows: np.ndarray, feats: np.ndarray, n: int, weights: np.ndarray, bi
     return 1 / (1 + np.exp(-np.clip(bias + total / np.sqrt(count), -30, 30)))
 
 
-def train(labelled: Sequence[tuple[str, int]], dim: int = DIM, steps: int = 1200, rate: float = 4.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(labelled: Sequence[tuple[str, int]], dim: int = DIM, steps: int = 1200, rate: float = 8.0, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch gradient descent; the same table gives the same model."""
     parts = [_split(url) for url, _ in labelled]
     y = np.array([label for _, label in labelled], float)
     rows, feats = features([h for h, _ in parts], [p for _, p in parts], dim)
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(y)), 1))
     weights, bias = np.zeros(dim), 0.0
-    heavy = np.where(y == 1, BLOCK_WEIGHT, 1.0)
+    heavy = np.where(y == 1, BLOCK_WEIGHT * (y == 0).sum() / max(1, y.sum()), 1.0)
+    heavy /= max(1e-9, heavy.mean())
     for _ in range(steps):
         off = (_scores(rows, feats, len(y), weights, bias) - y) * heavy
         weights -= rate * (np.bincount(feats, (off * scale)[rows], dim) / len(y) + l2 * weights)
