@@ -21,22 +21,24 @@ def text_digest(text: Column) -> Column:
 
 
 def _keyed_and_winners(docs: DataFrame, id_col: str, text_col: str, winners: int, counters: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_sha256) of every row, and the verified winners: text_sha256, group_size, keep_id, same (rows that repeat the kept id)."""
-    keyed = cut(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256")))
+    """(doc_id, text_sha256, row) of every row, and the verified winners: text_sha256, group_size, keep_id, keep_row, same (rows
+    that repeat the kept id). `row` numbers the rows; it tells rows apart that are alike in id and text."""
+    ident = F.col(id_col).alias("doc_id")
+    keyed = cut(docs.select(ident, text_digest(F.col(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("row")))
     candidates = keyed.agg(F.expr(f"approx_top_k(text_sha256, {winners}, {counters})").alias("top")).select(
         F.explode("top.item").alias("text_sha256")
     )
     heavy = keyed.join(F.broadcast(candidates), "text_sha256", "left_semi")
-    by_id = heavy.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("same"))
+    by_id = heavy.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("same"), F.max("row").alias("row"))
     # max over (is not null, id): a null id sorts below all others
     verified = cut(
         by_id.groupBy("text_sha256")
         .agg(
             F.sum("same").alias("group_size"),
-            F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "same")).alias("best"),
+            F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "same")).alias("best"),
         )
         .where("group_size > 1")
-        .select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.same").alias("same"))
+        .select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("best.same").alias("same"))
     )
     return keyed, verified
 
@@ -56,14 +58,7 @@ def exact_dedup(
     """
     keyed, verified = _keyed_and_winners(docs, id_col, text_col, winners, counters)
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    map_side = keyed.join(F.broadcast(verified), "text_sha256")
-    losers = map_side.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False)).select(out)
-    stayers = (
-        verified.select("*", F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))).alias("n"))
-        .withColumn("doc_id", F.col("keep_id"))
-        .withColumn("kept", F.col("n") == 1)
-        .select(out)
-    )
+    map_side = keyed.join(F.broadcast(verified), "text_sha256").withColumn("kept", F.col("row") == F.col("keep_row")).select(out)
     group = Window.partitionBy("text_sha256")
     rest = (
         keyed.join(F.broadcast(verified.select("text_sha256")), "text_sha256", "left_anti")
@@ -72,7 +67,7 @@ def exact_dedup(
         .withColumn("kept", F.row_number().over(group.orderBy(F.col("doc_id").desc_nulls_last())) == 1)
         .select(out)
     )
-    return rest.unionByName(losers).unionByName(stayers)
+    return rest.unionByName(map_side)
 
 
 def drop_exact_copies(
@@ -83,18 +78,18 @@ def drop_exact_copies(
     Copies of winners go on the map side. Of the other groups, what is to go is listed by id and digest; texts meet that list
     by broadcast while it is small, else by a shuffle. Repeated rows (same id, same text) of a row that stays are folded.
     """
-    key, keep, act = "__basalt_digest", "__basalt_keep", "__basalt_act"
+    key, keep, act, listed_key, listed_id = (f"__basalt_{x}" for x in ("digest", "keep", "act", "listed_key", "listed_id"))
     keyed, verified = _keyed_and_winners(docs, id_col, text_col, winners, counters)
     order = Window.partitionBy("text_sha256").orderBy(F.col("doc_id").desc_nulls_last())
     rest = keyed.join(F.broadcast(verified.select("text_sha256")), "text_sha256", "left_anti")
     placed = rest.withColumn("rank", F.row_number().over(order)).withColumn("first", F.first("doc_id").over(order)).where("rank > 1")
     act_of = F.when(F.col("doc_id").eqNullSafe(F.col("first")), "fold").otherwise("drop")
-    listed = cut(placed.select(F.col("text_sha256").alias("__key"), F.col("doc_id").alias("__id"), act_of.alias(act)).distinct())
+    listed = cut(placed.select(F.col("text_sha256").alias(listed_key), F.col("doc_id").alias(listed_id), act_of.alias(act)).distinct())
     repeats = listed.where(F.col(act) == "fold").limit(1).count() + verified.where("same > 1").limit(1).count()
 
     hot = verified.select(F.col("text_sha256").alias(key), F.struct("keep_id", "same").alias(keep))
     held = docs.withColumn(key, text_digest(F.col(text_col))).join(F.broadcast(hot), key, "left")
-    held = held.join(if_small(listed), (F.col(key) == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    held = held.join(if_small(listed), (F.col(key) == F.col(listed_key)) & F.col(id_col).eqNullSafe(F.col(listed_id)), "left")
     settled = (
         F.when(F.col(keep).isNull(), F.col(act))
         .when(~F.col(id_col).eqNullSafe(F.col(f"{keep}.keep_id")), "drop")

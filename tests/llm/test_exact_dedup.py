@@ -43,3 +43,16 @@ def test_dropping_keeps_one_whole_row_of_each_group(spark):
     assert kept.columns == frame.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r[0] for r in brute(ROWS) if r[3]), key=str)
     assert exact_dedup.drop_exact_copies(docs(spark, [])).count() == 0
+
+
+def test_a_row_repeated_very_often_keeps_one(spark):
+    frame = spark.range(300_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text")
+    out = exact_dedup.exact_dedup(frame).groupBy("kept").count().collect()
+    assert {r["kept"]: r["count"] for r in out} == {True: 1, False: 299_999}
+    assert exact_dedup.drop_exact_copies(frame).count() == 1
+
+
+def test_columns_with_names_once_used_inside(spark):
+    frame = docs(spark, ROWS).selectExpr("*", "'x' AS __key", "'x' AS __id", "1 AS row", "2 AS same", "3 AS rank")
+    kept = exact_dedup.drop_exact_copies(frame, winners=2, counters=10)
+    assert kept.columns == frame.columns and kept.count() == sum(r[3] for r in brute(ROWS))
