@@ -5,7 +5,9 @@ takes documents in the order of exponential keys -ln(u)/quality, the smallest fi
 that a document's chance grows with its quality weight.
 
 A source may hold a third of all rows, so it is never sorted as a whole: keys fall into a histogram for each source,
-whose prefix sums tell the one bin in which the budget ends; only the documents of that bin are sorted.
+whose prefix sums tell the one bin in which the budget ends. While that bin holds more than `BIN_DOCS` documents it gets a
+histogram of its own, from its least key to its greatest, or from its first row to its last where all its keys are alike;
+only the documents of the last bin are sorted. So no spread of the keys, and no tie, makes a large sort.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import MOST_BROADCAST, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = r"[#$%&*|!@=<>]+"
-#: Documents meant for each bin of the histogram, and the fewest bins of a source.
-BIN_DOCS, LEAST_BINS = 20_000, 64
+#: Documents of a source that are sorted at most, bins of a histogram, and the share of all documents that makes a source hot.
+BIN_DOCS, BINS, HOT_SHARE = 20_000, 1024, 1 / 1000
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3) -> DataFrame:
@@ -50,6 +52,41 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     )
 
 
+def _meet(keyed: DataFrame, state: DataFrame) -> DataFrame:
+    """Documents beside their source's row of `state`. That table is broadcast up to `MOST_BROADCAST` sources; beyond that only
+    hot sources are, which are few by their share, and the rest meets by a shuffle."""
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if state.count() <= MOST_BROADCAST:
+        return keyed.join(F.broadcast(state), same)
+    bound = state.agg(F.sum("all_docs")).first()[0] * HOT_SHARE
+    tagged = keyed.join(F.broadcast(state.where(F.col("all_docs") > bound)), same, "left")
+    cold = tagged.where("all_docs IS NULL").select(keyed.columns).join(state.where(F.col("all_docs") <= bound), same)
+    return tagged.where("all_docs IS NOT NULL").unionByName(cold)
+
+
+#: Whether a document lies in the bin where its source's budget ends.
+_INSIDE = "key BETWEEN k0 AND k1 AND (k0 < k1 OR row BETWEEN r0 AND r1)"
+
+
+def _narrowed(keyed: DataFrame, state: DataFrame) -> DataFrame:
+    """`state` with the bin (keys k0 to k1; of equal keys rows r0 to r1) in which the budget ends narrowed until it is small."""
+    wide = f"rest > 0 AND docs > {BIN_DOCS} AND (k0 < k1 OR r0 < r1)"
+    while state.where(wide).limit(1).count():  # each round splits a bin: its ends never share one
+        part = F.when(F.col("k0") < F.col("k1"), (F.col("key") - F.col("k0")) / (F.col("k1") - F.col("k0")))
+        part = part.otherwise((F.col("row") - F.col("r0")) / (F.col("r1") - F.col("r0")))
+        bin_ = F.least(F.floor(part * BINS), F.lit(BINS - 1))
+        # hot sources are summed on the map side first
+        hist = _meet(keyed, state.where(wide)).where(_INSIDE).groupBy("s", "rest", "ahead", bin_.alias("bin")).agg(
+            F.sum("size").alias("words"), F.count("*").alias("docs"), F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("row").alias("r0"), F.max("row").alias("r1")
+        )
+        upto = Window.partitionBy("s").orderBy("bin")
+        ends = hist.withColumn("ahead", F.col("ahead") + F.sum("words").over(upto) - F.col("words")).where("ahead < rest AND ahead + words >= rest")
+        ends = ends.select(F.col("s").alias("s2"), *(F.col(c).alias(f"n_{c}") for c in ("ahead", "docs", "k0", "k1", "r0", "r1")))
+        new = state.where(wide).join(ends, F.col("s").eqNullSafe(F.col("s2"))).withColumns({c: F.col(f"n_{c}") for c in ("ahead", "docs", "k0", "k1", "r0", "r1")})
+        state = cut(new.select(state.columns).unionByName(state.where(f"NOT ({wide})")))
+    return state
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -66,60 +103,48 @@ def mix(
     1 / (1 + marks per word), marks being runs of characters such as # $ % |. The document at which a source's budget
     ends gives just the words that are left, so a source's taken words are its target, rounded.
 
-    Nulls: a null text has size 0 and takes 0; a null source is a source of its own, the last; a null id takes part
-    with the key of an empty id. Ties of keys go by id, then size; rows that repeat all of these are interchangeable.
+    Nulls: a null text has size 0 and takes 0; a null source is a source of its own, the last; a null id counts as an
+    empty id. Keys tie only between rows alike in id and text, which are interchangeable, be they ever so many.
     Empty texts and empty tables: size 0, empty result. Other columns of `docs` are not looked at. Reruns agree: keys
-    come from the md5 of the id and `seed`.
+    come from the md5 of the id, the md5 of the text and `seed`.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
+        F.md5(text.cast("binary")).alias("of_text"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         (F.lit(1.0) / (1.0 + F.regexp_count(text, F.lit(MARKS)) / F.greatest(F.lit(1), F.regexp_count(text, F.lit(WORD))))).alias("by_text"),
         (F.col(quality_col).cast("double") if quality_col else F.lit(None).cast("double")).alias("given"),
     )
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u = (F.conv(F.substring(F.md5(F.concat(ident, F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") + 1) / float(2**52 + 1)
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "of_text", F.lit(seed))
+    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 1) / float(2**52 + 1)
     keyed = cut(
         base.withColumn("quality", F.coalesce(F.when(F.col("given") > 0, F.col("given")), F.col("by_text")))
         .withColumn("key", -F.log(u) / F.col("quality"))
-        .select("doc_id", "source", "size", "quality", "key")
+        .select("doc_id", "source", "size", "quality", "key", F.monotonically_increasing_id().alias("row"))
     )
     # hot sources are summed on the map side first
-    sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    plan = (
+    ends = (F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
+    sources = cut(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"), *ends))
+    state = (
         with_targets(sources.select("source", "source_size"), weights, most_epochs)
-        .join(sources.select(F.col("source").alias("s2"), "docs"), F.col("source").eqNullSafe(F.col("s2")))
-        .drop("s2")
+        .withColumnRenamed("source", "s")
+        .join(sources.drop("source_size"), F.col("s").eqNullSafe(F.col("source")))
+        .drop("source")
         .withColumn("budget", F.round("target").cast("long"))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
-        .withColumn("bins", F.greatest(F.lit(LEAST_BINS), F.ceil(F.col("docs") / BIN_DOCS)).cast("long"))
+        .withColumns({"rest": F.col("budget") - F.col("epochs") * F.col("source_size"), "ahead": F.lit(0).cast("long"), "all_docs": F.col("docs")})
     )
-    plan = cut(plan.withColumnRenamed("source", "s"))
-    same = F.col("source").eqNullSafe(F.col("s"))
-    # 1-exp(-key) maps keys to (0, 1) in the same order
-    binned = keyed.join(plan, same).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")).cast("long"))
-    hist = binned.groupBy("s", "rest", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("s").orderBy("bin")
-    last = (
-        hist.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-        .where("before < rest AND before + words >= rest")
-        .groupBy("s")  # one bin where words > 0; the least where empty bins tie
-        .agg(F.min(F.struct("bin", "before")).alias("x"))
-        .select(F.col("s").alias("s3"), F.col("x.bin").alias("end_bin"), F.col("x.before").alias("before"))
-    )
-    last = cut(last)
-    placed = binned.join(last, F.col("s").eqNullSafe(F.col("s3")), "left")
+    placed = _meet(keyed, _narrowed(keyed, cut(state)))
     cols = ["doc_id", "size", "source_size", "target", "taken", "source", "quality"]
-    whole = placed.where("end_bin IS NULL OR bin <> end_bin").withColumn(
-        "taken", (F.col("epochs") + F.when(F.col("bin") < F.col("end_bin"), 1).otherwise(0)) * F.col("size")
-    )
-    run = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where("bin = end_bin").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
+    inside = F.expr(f"rest > 0 AND {_INSIDE}")
+    first = F.expr("rest > 0 AND (key < k0 OR (k0 = k1 AND key = k0 AND row < r0))")
+    whole = placed.where(~inside).withColumn("taken", (F.col("epochs") + F.when(first, 1).otherwise(0)) * F.col("size"))
+    run = Window.partitionBy("s").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
+    edge = placed.where(inside).withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     edge = edge.withColumn(
-        "taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead")))
+        "taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     )
     return whole.select(cols).unionByName(edge.select(cols))
 
@@ -135,7 +160,7 @@ WITH base AS (
 ), sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          CAST(len(regexp_extract_all(t, '[#$%&*|!@=<>]+')) AS DOUBLE) AS marks,
-         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 13) AS BIGINT)::DOUBLE + 1) / 4503599627370497.0 AS u
+         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t) || ':mix'), 1, 13) AS BIGINT)::DOUBLE + 1) / 4503599627370497.0 AS u
   FROM base
 ), keyed AS (
   SELECT doc_id, source, size, -ln(u) / (1.0::DOUBLE / (1.0::DOUBLE + marks / greatest(1, size)::DOUBLE)) AS key FROM sized

@@ -46,10 +46,39 @@ def test_epochs_come_before_the_fraction(spark):
 
 def test_bins_do_not_change_the_choice(spark, monkeypatch):
     first = {r["doc_id"]: r["taken"] for r in mixing.mix(docs(spark, ROWS)).collect()}
-    monkeypatch.setattr(mixing, "LEAST_BINS", 1)
+    monkeypatch.setattr(mixing, "BIN_DOCS", 2)
+    monkeypatch.setattr(mixing, "BINS", 3)
     assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs(spark, ROWS)).collect()} == first
 
 
+@pytest.mark.parametrize("quality", [0.01, 1.0, 100.0])
+def test_a_large_source_is_narrowed_to_a_small_sort(spark, monkeypatch, quality):
+    monkeypatch.setattr(mixing, "BIN_DOCS", 50)
+    states, narrowed = [], mixing._narrowed
+    monkeypatch.setattr(mixing, "_narrowed", lambda keyed, state: states.append(narrowed(keyed, state)) or states[-1])
+    frame = docs(spark, [(i, f"word {i} of it", None, "hot" if i < 4000 else "b") for i in range(6000)]).withColumn("q", F.lit(quality))
+    out = mixing.mix(frame, quality_col="q", weights=(1, 1)).toPandas()
+    assert max(r["docs"] for r in states[0].where("rest > 0").collect()) <= 50
+    for _, part in out.groupby("source"):
+        assert part["taken"].sum() == int(part["target"].iloc[0] + 0.5)
+
+
+def test_rows_all_alike_are_split_by_place(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_DOCS", 20)
+    rows = [(None, "the same words", None, "a")] * 3000 + [(i, "other words", None, "b") for i in range(1000)]
+    out = mixing.mix(docs(spark, rows), weights=(1, 2)).toPandas()
+    assert len(out) == 4000
+    for _, part in out.groupby("source"):
+        assert part["taken"].sum() == int(part["target"].iloc[0] + 0.5)
+
+
+def test_many_sources_meet_without_broadcast(spark, monkeypatch):
+    first = sorted(map(str, mixing.mix(docs(spark, ROWS)).collect()))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(mixing, "HOT_SHARE", 0.2)
+    assert sorted(map(str, mixing.mix(docs(spark, ROWS)).collect())) == first
+
+
 def test_quality_raises_the_chance(spark):
     rows = [(i, "w " * 10, None, "a" if i < 1000 else "b") for i in range(1500)]
     frame = docs(spark, rows).withColumn("q", F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0))
