@@ -1,10 +1,12 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line of text. Its hashed word 1- to 3-grams go through a softmax regression over licence families and an
-unknown class. Training takes the templates below, each many times with words dropped and strange words put in, and
-ordinary paragraphs of a bounded sample of the corpus as unknown. A second part of both calibrates: the margin over
-unknown that a family must reach is set so that at most `FALSE_ALARMS` of the unknown paragraphs reach it. What reaches
-it is confirmed if it shares enough word pairs with a template of its family, or holds all of a bare notice of it.
+A paragraph is a run of lines up to a blank line or a line that ends a sentence, so that wrapped notices are one paragraph;
+its lines are judged too, as a notice may follow other text. Hashed word 1- to 3-grams go through a softmax regression over
+licence families and an unknown class. Training takes the templates below, each many times with words dropped and strange
+words put in, and ordinary paragraphs of a bounded sample of the corpus as unknown. A second part of both calibrates: a
+temperature and an offset of the unknown class make chances true to their frequency, and the margin over unknown that a
+family must reach is set so that at most `FALSE_ALARMS` of the unknown paragraphs reach it. What reaches it is confirmed if
+it and a template of its family share enough of the word pairs of both, or if it holds all of a template or bare notice.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, chunks, small_batches, table, utf8
+from .samples import bounded
 from .shingles import U, mix, word_hashes
 
 DIM, ORDERS = 1 << 15, 3
-#: Documents whose paragraphs stand for unknown text, about this many at most; paragraphs of them at most.
+#: Documents whose paragraphs stand for unknown text, this many at most; paragraphs of them at most.
 MOST_DOCS, MOST_PARAGRAPHS = 500, 4000
+#: What ends a paragraph at the end of a line.
+STOPS = (b".", b"!", b"?", b":", b";")
 COPIES, FALSE_ALARMS, CONFIRM = 40, 0.001, 0.6
 
 #: Licence notices and openings by family (fixed values).
@@ -87,15 +92,26 @@ NOTICES = {
 }
 
 
-def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line of each gram, its feature, text of each line, words of each line) over the lines of all texts that have words."""
-    lines, owner = [], []
-    for i, text in enumerate(texts):
-        parts = utf8(text).split(b"\n")
-        lines += parts
-        owner += [i] * len(parts)
-    hashes, counts = word_hashes([p.decode("utf-8", "replace") for p in lines])
-    line = np.repeat(np.arange(len(lines)), counts)
+def candidates(data: bytes) -> tuple[list[bytes], list[int], int]:
+    """(what is judged, its paragraph's number, paragraphs): every paragraph with words, and the lines of those with several."""
+    out, number, lines, n = [], [], [], 0
+    for line in [*data.split(b"\n"), b""]:
+        if line.strip(b" \t\r\v\f"):
+            lines.append(line)
+            if not line.rstrip().endswith(STOPS):
+                continue
+        if lines:
+            parts = [b" ".join(lines), *lines] if len(lines) > 1 else lines
+            out += parts
+            number += [n] * len(parts)
+            n, lines = n + 1, []
+    return out, number, n
+
+
+def grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece of each gram, its feature) over pieces of text."""
+    hashes, counts = word_hashes([p.decode("utf-8", "replace") for p in pieces])
+    line = np.repeat(np.arange(len(pieces)), counts)
     rows, feats = [], []
     code = np.zeros(len(hashes), U)
     for n in range(ORDERS):
@@ -108,32 +124,36 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.empty(0, np.int64)
     rows, feats = np.concatenate([*rows, none]), np.concatenate([*feats, none])
     order = np.argsort(rows, kind="stable")
-    return rows[order], feats[order], np.array(owner, np.int64), counts
+    return rows[order], feats[order]
 
 
-def word_pairs(text: str) -> set:
-    words = utf8(text).translate(LOWER_BYTES).replace(b",", b" ").replace(b".", b" ").split()
+def word_pairs(text: str | bytes) -> set:
+    data = text if isinstance(text, bytes) else utf8(text)
+    words = data.translate(LOWER_BYTES).translate(_BARE).split()
     return set(zip(words, words[1:]))
 
 
-_PAIRS = {family: [word_pairs(t) for t in texts] for family, texts in TEMPLATES.items()}
-_NOTICE_PAIRS = {family: [word_pairs(t) for t in texts] for family, texts in NOTICES.items()}
+#: Punctuation around words counts as blank.
+_BARE = bytes(32 if chr(b) in ",.;:()\"'`*#/<>" else b for b in range(256))
+_PAIRS = {family: [word_pairs(t) for t in (*texts, *NOTICES[family])] for family, texts in TEMPLATES.items()}
 
 
-def likeness(line: str, family: str) -> float:
-    """The share of a template's word pairs that the line has, or of the line's that the template has if at least four; the best of the family.
-    A line that has all word pairs of a bare notice is like it as a whole; a part of one says nothing."""
-    have = word_pairs(line)
-    best = float(any(pairs <= have for pairs in _NOTICE_PAIRS[family]))
+def likeness(line: str | bytes | set, family: str) -> float:
+    """How like a paragraph (or its word pairs) is to a family: 1 where it has all word pairs of a template or notice of the family; else the lesser of the shares that the
+    common pairs have of the template and of it, for the template where that is most."""
+    have, best = line if isinstance(line, set) else word_pairs(line), 0.0
     for pairs in _PAIRS[family]:
         common = len(have & pairs)
-        best = max(best, common / len(pairs), common / len(have) if len(have) >= 4 else 0.0)
+        if common == len(pairs):
+            return 1.0
+        best = max(best, common / max(len(pairs), len(have)))
     return best
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, margin: float = 0.0):
-        self.weights, self.margin = weights, margin  # (DIM + 1, families + unknown), the last row is the bias
+    def __init__(self, weights: np.ndarray, margin: float = 0.0, heat: float = 1.0, offset: float = 0.0):
+        """`weights`: (DIM + 1, families + unknown), the last row is the bias; `heat` and `offset` (of unknown) calibrate chances."""
+        self.weights, self.margin, self.heat, self.offset = weights, margin, heat, offset
 
     def logits(self, rows: np.ndarray, feats: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, self.weights.shape[1]), np.float32)
@@ -143,16 +163,19 @@ class Model:
             out[rows[starts]] = np.add.reduceat(self.weights[feats], starts, 0) / np.sqrt(count)[:, None]
         return out + self.weights[-1]
 
-    def margins(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(family, margin over unknown, chance, text) of every line with words."""
-        rows, feats, owner, counts = grams(texts)
-        z = self.logits(rows, feats, len(owner))
-        known = z[:, :-1]
-        best = known.argmax(1)
-        top = known[np.arange(len(z)), best]
-        chance = 1 / np.exp(z - top[:, None]).sum(1)
-        margin = np.where(counts > 0, top - z[:, -1], -np.inf)
-        return best, margin, chance, owner
+    def chances(self, z: np.ndarray) -> np.ndarray:
+        """Calibrated chances of all classes."""
+        z = z * self.heat
+        z[:, -1] += self.offset
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    def judged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(family, margin over unknown, calibrated chance of the family) of every piece."""
+        z = self.logits(*grams(pieces), len(pieces))
+        best = z[:, :-1].argmax(1)
+        at = np.arange(len(z))
+        return best, z[at, best] - z[:, -1], self.chances(z.astype(np.float64))[at, best]
 
 
 def noisy(text: str, strange: list[str], rng: np.random.Generator) -> str:
@@ -184,8 +207,7 @@ def train(unknown: list[str], steps: int = 60, rate: float = 40.0, seed: int = 5
                 texts += [form, form, *(around(form, strange, rng) for _ in range(COPIES // 2 - 2))]
                 labels += [k] * (COPIES // 2)
     texts, y = texts + unknown, np.array(labels + [len(FAMILIES)] * len(unknown))
-    texts = [t.replace("\n", " ") for t in texts]
-    rows, feats, _, _ = grams(texts)
+    rows, feats = grams([utf8(t) for t in texts])
     fit = np.arange(len(y)) % 2 == 0
     classes = len(FAMILIES) + 1
     weight = 1 / np.bincount(y, minlength=classes)[y]  # every class counts alike
@@ -201,21 +223,44 @@ def train(unknown: list[str], steps: int = 60, rate: float = 40.0, seed: int = 5
         for c in range(classes):
             model.weights[:-1, c] -= rate * (np.bincount(feats, off[rows, c] * scale, DIM) + 1e-5 * model.weights[:-1, c])
         model.weights[-1] -= rate * off.sum(0)
-    z = model.logits(rows, feats, len(y))
+    z = model.logits(rows, feats, len(y)).astype(np.float64)
     free = np.sort((z[:, :-1].max(1) - z[:, -1])[~fit & (y == len(FAMILIES))])
     held = free[min(len(free) - 1, int(np.ceil((1 - FALSE_ALARMS) * len(free))))] if len(free) else 0.0
     model.margin = float(max(0.0, held))
+    model.heat, model.offset = calibrated(z[~fit], y[~fit])
     return model
 
 
+def calibrated(z: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05) -> tuple[float, float]:
+    """The heat and the offset of the unknown class under which the held-out examples `z` are likeliest, all classes counting
+    alike; Adam over the logarithm of the heat and the offset. A little of the loss keeps both finite where nothing is doubtful."""
+    weight = 1 / np.bincount(y, minlength=z.shape[1])[y]
+    weight /= weight.sum()
+    at, target, first, second = np.zeros(2), np.eye(z.shape[1])[y], np.zeros(2), np.zeros(2)
+    for step in range(1, steps + 1):
+        heat = np.exp(at[0])
+        s = z * heat
+        s[:, -1] += at[1]
+        p = np.exp(s - s.max(1, keepdims=True))
+        off = (p / p.sum(1, keepdims=True) - target) * weight[:, None]
+        grad = np.array([(off * z).sum() * heat, off[:, -1].sum()]) + 1e-3 * at
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
+        at = at - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+    return float(np.exp(at[0])), float(at[1])
+
+
+def paragraphs_of(text: str) -> list[str]:
+    out, number, _ = candidates(utf8(text))
+    return [p.decode("utf-8", "replace") for i, p in enumerate(out) if i == 0 or number[i] != number[i - 1]]
+
+
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """A model whose unknown class is learnt from the paragraphs of a bounded sample of `docs`, chosen by the hash of the id;
-    paragraphs much like a template do not count as unknown."""
+    """A model whose unknown class is learnt from the paragraphs of a bounded sample of `docs`, chosen by the hash of id and
+    text; paragraphs much like a template do not count as unknown."""
     small_batches(docs.sparkSession)
-    share = min(1.0, MOST_DOCS / max(1, docs.count()))
-    rows = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share * 1_000_000).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = sorted({line for text in rows.toPandas()["text"].dropna() for line in text.split("\n") if line.strip()}, key=lambda x: (hash_of(x), x))
-    plain = [x for x in lines if max(likeness(x, f) for f in FAMILIES) < 0.3]
+    rows = bounded(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), MOST_DOCS, ["doc_id", "text"]).select("text").toPandas()
+    found = sorted({p for text in rows["text"].dropna() for p in paragraphs_of(text)}, key=lambda x: (hash_of(x), x))
+    plain = [x for x in found if max(likeness(have, f) for have in [word_pairs(x)] for f in FAMILIES) < 0.3]
     return train(plain[:MOST_PARAGRAPHS])
 
 
@@ -224,9 +269,9 @@ def hash_of(line: str) -> int:
 
 
 def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: `doc_id, n_paragraphs` (lines with words), `n_licence` (confirmed paragraphs), `families`
+    """One row per row of `docs`: `doc_id, n_paragraphs` (with words), `n_licence` (confirmed paragraphs), `families`
     (their families, sorted, comma-joined; empty if none), `n_unconfirmed` (paragraphs the model names but no template
-    confirms), `score` (highest chance of a confirmed paragraph, else 0).
+    confirms), `score` (highest calibrated chance of a confirmed paragraph, else 0).
 
     Nulls: a null text counts as empty, a null id stays null. Empty texts have no paragraphs; repeated rows are scanned one
     by one; very long texts are scanned whole; an empty table gives an empty result. Ties between families go to the first
@@ -238,25 +283,26 @@ def scan_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = held.value
         for piece in chunks(frames, "text"):
-            texts = piece["text"].tolist()
-            best, margin, chance, owner = model.margins(texts)
-            n = np.bincount(owner[np.isfinite(margin)], minlength=len(texts))
-            found: list[set] = [set() for _ in texts]
-            confirmed, open_, score = np.zeros(len(texts), int), np.zeros(len(texts), int), np.zeros(len(texts))
-            first = np.searchsorted(owner, np.arange(len(texts)))
-            split: dict[int, list[bytes]] = {}
+            parts = [candidates(utf8(t)) for t in piece["text"]]
+            pieces = [p for out, _, _ in parts for p in out]
+            owner = np.repeat(np.arange(len(parts)), [len(out) for out, _, _ in parts])
+            number = [k for _, numbers, _ in parts for k in numbers]
+            best, margin, chance = model.judged(pieces)
+            sure: list[set] = [set() for _ in parts]
+            named: list[set] = [set() for _ in parts]
+            found: list[set] = [set() for _ in parts]
+            score = np.zeros(len(parts))
             for i in np.flatnonzero(margin > model.margin).tolist():
                 t, family = int(owner[i]), FAMILIES[best[i]]
-                if t not in split:
-                    split = {t: utf8(texts[t]).split(b"\n")}
-                line = split[t][i - first[t]].decode("utf-8", "replace")
-                if likeness(line, family) >= CONFIRM:
-                    confirmed[t] += 1
+                named[t].add(number[i])
+                if likeness(pieces[i], family) >= CONFIRM:
+                    sure[t].add(number[i])
                     found[t].add(family)
                     score[t] = max(score[t], chance[i])
-                else:
-                    open_[t] += 1
-            yield pd.DataFrame({"doc_id": piece["doc_id"], "n_paragraphs": n, "n_licence": confirmed, "families": [",".join(sorted(f)) for f in found], "n_unconfirmed": open_, "score": score})
+            yield pd.DataFrame({
+                "doc_id": piece["doc_id"], "n_paragraphs": [n for _, _, n in parts], "n_licence": [len(x) for x in sure],
+                "families": [",".join(sorted(f)) for f in found], "n_unconfirmed": [len(a - b) for a, b in zip(named, sure, strict=True)], "score": score,
+            })
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, n_paragraphs long, n_licence long, families string, n_unconfirmed long, score double"

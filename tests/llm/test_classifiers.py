@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basalt.llm import language, licenses, quality, toxicity
 
@@ -40,13 +41,66 @@ def test_quality_on_held_out_rows(corpus):
     assert (rows["held_out"] == [bucket(d, 5) == 0 for d in rows["doc_id"]]).all()
 
 
-def test_quality_risk_ignores_the_labels_of_negatives():
-    rng = np.random.default_rng(0)
-    x = np.vstack((rng.normal(1, 1, (600, quality.WIDTH)), rng.normal(-1, 1, (400, quality.WIDTH)))).astype(np.float32)
-    label = np.zeros(1000, int)
-    label[:200] = 1  # a third of the positives is known, the rest is unlabelled
-    net = quality.train(x, label, prior=0.6, steps=200)
-    assert (net.score(x[200:600]) > 0.5).mean() > 0.9 and (net.score(x[600:]) < 0.5).mean() > 0.9
+def two_classes(share, n=3000, seed=0):
+    """(positives, unlabelled rows, which of those are positive)"""
+    rng = np.random.default_rng(seed)
+    draw = lambda n, at: rng.normal(at, 1, (n, quality.WIDTH)).astype(np.float32)
+    truth = rng.random(n) < share
+    return draw(n // 3, 0.2), np.where(truth[:, None], draw(n, 0.2), draw(n, -0.2)), truth
+
+
+def test_quality_learns_without_any_negative():
+    positive, unlabelled, truth = two_classes(0.6)
+    net = quality.train(positive, unlabelled, steps=200)
+    assert (net.score(unlabelled[truth]) > 0.5).mean() > 0.9 and (net.score(unlabelled[~truth]) < 0.5).mean() > 0.9
+
+
+@pytest.mark.parametrize("share", [0.1, 0.35, 0.6, 0.9])
+def test_prior_is_near_the_hidden_share(share):
+    positive, unlabelled, truth = two_classes(share, seed=int(share * 100))
+    assert abs(quality.estimate_prior(positive, unlabelled) - truth.mean()) < 0.1
+
+
+def test_prior_of_the_corpus(spark, corpus):
+    documents, labels = corpus
+    found, estimate = [], quality.estimate_prior
+    try:
+        quality.estimate_prior = lambda *a: found.append(estimate(*a)) or found[-1]
+        # the labels of negatives are not read: without them the model is the same
+        both = [quality.fit(documents, part) for part in (labels, labels.where("quality = 1"))]
+    finally:
+        quality.estimate_prior = estimate
+    assert abs(found[0] - labels.toPandas()["quality"].mean()) < 0.1
+    assert all(np.array_equal(a, b) for a, b in zip(*(net.p for net in both), strict=True))
+
+
+@pytest.mark.parametrize("case", ["null ids", "one id", "one row"])
+def test_samples_stay_bounded_whatever_the_ids(spark, case):
+    from basalt.llm import samples
+
+    key = {"null ids": "CAST(NULL AS BIGINT)", "one id": "CAST(7 AS BIGINT)", "one row": "CAST(7 AS BIGINT)"}[case]
+    text = "'the same'" if case == "one row" else "CONCAT('text ', id)"
+    frame = spark.range(20_000).selectExpr(f"{key} AS doc_id", f"{text} AS text", "'en' AS lang", "1 AS label", "2 AS __id", "3 AS __key")
+    labels = spark.range(20_000).selectExpr(f"{key} AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS text")
+    assert samples.bounded(frame, 500, ["doc_id", "text"]).count() == (1 if case == "one row" else 500)
+    assert samples.bounded_by(frame, "lang", 500, ["doc_id", "text"]).count() == (1 if case == "one row" else 500)
+    got = samples.labelled_sample(frame, labels, "quality", 500).toPandas()
+    assert len(got) == {"null ids": 0, "one id": 500, "one row": 1}[case] and set(got.columns) == {"text", "label", samples.HASH}
+
+
+def test_samples_agree_on_reruns_and_take_the_whole_of_a_small_table(corpus):
+    from basalt.llm import samples
+
+    documents, labels = corpus
+    a, b = (sorted(r["doc_id"] for r in samples.bounded(d, 100, ["doc_id", "text"]).collect()) for d in (documents, documents.repartition(7)))
+    assert a == b and len(a) == 100
+    assert samples.bounded(documents, 10**6, ["doc_id", "text"]).count() == documents.count()
+
+
+def test_ids_may_be_texts(corpus):
+    documents, labels = (t.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")) for t in corpus)
+    assert quality.score_quality(documents, quality.fit(documents, labels)).schema["doc_id"].dataType.simpleString() == "string"
+    assert language.identify(documents, language.fit(documents)).count() == documents.count()
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -196,12 +250,49 @@ def test_licences(spark, corpus):
     assert got == {1: ("mit", 1, 3), 2: ("apache", 1, 1), 3: ("cc-by-nc,gpl", 2, 2), 4: ("", 0, 1), 5: ("", 0, 1), 6: ("mit", 1, 1), 7: ("", 0, 0), 8: ("", 0, 0), 9: ("", 0, 0)}
 
 
-def test_licences_agree_with_names_in_the_corpus(corpus):
-    documents, _ = corpus
-    names = {"apache": "Apache License", "cc-by-nc": "CC BY-NC", "gpl": "GNU General Public", "mit": "MIT License"}
-    found = {r["doc_id"]: r["families"] for r in licenses.scan_licenses(documents, licenses.fit(documents)).collect()}
-    for r in documents.collect():
-        assert found[r["doc_id"]] == ",".join(f for f, n in names.items() if n in r["text"])
+WRAPPED = """Some code of ours
+
+Redistribution and use in source and binary
+forms, with or without modification, are
+permitted provided that the following conditions are met:
+
+more of it"""
+
+
+def test_wrapped_notices_are_one_paragraph(spark, corpus):
+    got = licenses.scan_licenses(docs(spark, [(1, WRAPPED), (2, WRAPPED.replace("\n", "\r\n"))]), licenses.fit(corpus[0])).collect()
+    assert [(r["n_paragraphs"], r["n_licence"], r["families"]) for r in got] == [(3, 1, "bsd")] * 2
+
+
+#: Licence paragraphs in other words than the templates', and paragraphs that only sound like them.
+OTHER_WORDS = {
+    "This project is released under the MIT License, see the file for more.": "mit", "The library is distributed under the MIT License by its authors.": "mit", "Code in this folder: licensed under the Apache License, Version 2.0, as is the rest.": "apache",
+    "You may use these sources under the Apache License 2.0 or later.": "apache", "Our tools are free software under the GNU General Public License, version 2.": "gpl", "The text is available under the Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "Photographs are licensed under CC BY-NC 4.0 unless noted.": "cc-by-nc", "Covered by the 3-Clause BSD License of the university.": "bsd", "Linking is allowed under the GNU Lesser General Public License.": "lgpl",
+    "Files here fall under the Mozilla Public License, version 2.0.": "mpl", "Copyright 2020 by the publisher. All rights reserved.": "proprietary", "Permission is hereby granted, free of charge, to any person who has a copy of this software and associated documentation files": "mit",
+    "under the terms of the": "", "free of charge, to any person": "", "He was released under the old bridge.": "", "The license plate of my car is new.": "", "You may not use this room without permission.": "", "Modification of the source and of binary forms is hard.": "",
+    "Creative people share common ground.": "", "The public library is general and free.": "", "All people reserved their rights to speak.": "", "Apache helicopters need a license.": "", "The university granted permission to redistribute the books.": "", "A general public meeting about GNU herds": "",
+}
+
+
+def test_precision_and_recall_on_other_words(spark, corpus):
+    got = {r["doc_id"]: r["families"] for r in licenses.scan_licenses(docs(spark, list(enumerate(OTHER_WORDS))), licenses.fit(corpus[0])).collect()}
+    pairs = [(got[i], want) for i, want in enumerate(OTHER_WORDS.values())]
+    right = sum(g == w for g, w in pairs if w)
+    assert right / sum(bool(g) for g, _ in pairs) >= 0.9 and right / sum(bool(w) for _, w in pairs) >= 0.9, [(t, g) for (t, w), (g, _) in zip(OTHER_WORDS.items(), pairs) if g != w]
+
+
+def test_chances_are_calibrated():
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 2, (20_000, 4))
+    p = np.exp(0.4 * z + [0, 0, 0, 1.0])
+    p /= p.sum(1, keepdims=True)
+    y = (rng.random(len(z))[:, None] > p.cumsum(1)).sum(1)
+    model = licenses.Model(np.zeros((1, 4)), 0.0, *licenses.calibrated(z, y))
+    # every class counts alike, so the offset answers for the unknown class being common
+    assert model.heat == pytest.approx(0.4, rel=0.15)
+    top = model.chances(z.copy())
+    assert abs(top.max(1).mean() - (top.argmax(1) == y).mean()) < 0.12
 
 
 BARE = {
