@@ -3,7 +3,8 @@
 1. Every text becomes the set of its word shingles and a sketch of it. Texts with the same set form a class; only
    classes go on (hot groups of exact copies are folded by a partial aggregate).
 2. Bands of the sketch put classes into buckets. In a small bucket, sketches are compared and a spanning forest of the
-   pairs that may be similar enough leaves it; in a large one every class is tied to the least. No bucket emits its pairs.
+   pairs that may be similar enough leaves it. Large buckets are split by pairs of large bands that classes share, which keeps
+   apart what merely has a passage in common; what is large then too is tied to its least. No bucket emits its pairs.
 3. Connected components of these ties hold every link. Each is settled on the full shingle sets: a union-find compares
    a class with those it is not joined to yet, and emits who joins whom.
    A component too large for one task is dealt into blocks: first each block is settled by itself, then some pivots meet
@@ -26,9 +27,9 @@ from .components import components
 from .shingles import U, band_keys, bands_for, mix, shingle_sets, sketches
 
 #: Coordinates of a sketch, largest bucket whose sketches are compared, largest set of classes and of shingles for one task.
-COORDINATES, SMALL_BUCKET, TASK_CLASSES, TASK_SHINGLES = 256, 512, 3000, 3_000_000
-#: Most buckets whose rows are broadcast.
-HOT_BUCKETS = 5000
+COORDINATES, SMALL_BUCKET, TASK_CLASSES, TASK_SHINGLES = 256, 512, 256, 3_000_000
+#: Most buckets whose rows are broadcast; share of all rows that makes a class hot, so that there are 1 / HOT_SHARE hot classes at most.
+HOT_BUCKETS, HOT_SHARE = 5000, 1 / 1000
 #: Deviations of the estimate that a pair may lie under the threshold and still be verified.
 SLACK = 5.0
 PIVOTS = 16
@@ -186,14 +187,16 @@ def _links_of_large(rows: DataFrame, percent: int) -> DataFrame:
         roots = components(ties)
         named = rows.join(roots, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "sid")).drop("node", "root")
         sizes = named.groupBy("comp", "label").count()
-        top = sizes.groupBy("comp").agg(F.max(F.struct("count", "label")).alias("x")).select("comp", F.col("x.label").alias("top"))
-        named = named.join(F.broadcast(top), "comp")  # one row for each component that is too large
+        top = sizes.groupBy("comp").agg(F.max(F.struct("count", "label")).alias("x")).select("comp", F.col("x.label").alias("top"), F.col("x.count").alias("among"))
+        named = named.join(if_small(cut(top)), "comp")  # one row for each component that is too large
         base = named.select("comp", F.col("block").alias("part"), "sid", "label", F.lit(False).alias("probe"), "shingles")
         if stage == "pivots":
-            order = Window.partitionBy("comp").orderBy("h", "sid")
-            keys = named.where("label = top").select("comp", "sid", F.xxhash64("sid").alias("h")).where(F.pmod("h", F.lit(64)) == 0)
-            chosen = keys.withColumn("n", F.row_number().over(order)).where(f"n <= {PIVOTS}").select("sid")
-            probes = named.join(F.broadcast(chosen), "sid", "left_semi")
+            # the hash leaves a few times as many as are wanted, whatever the size of the group
+            h = F.xxhash64(F.lit("pivot"), "sid")
+            keys = named.where("label = top").select("comp", "sid", h.alias("h"), "among")
+            keys = keys.where(F.col("h").cast("double") <= float(2**64) * 4 * PIVOTS / F.col("among") - float(2**63))
+            chosen = keys.withColumn("n", F.row_number().over(Window.partitionBy("comp").orderBy("h", "sid"))).where(f"n <= {PIVOTS}").select("sid")
+            probes = named.join(if_small(cut(chosen)), "sid", "left_semi")
         else:
             probes = named.where("label <> top")
         # each probe visits every block; probes of one block are kept apart so that a task stays small
@@ -207,19 +210,56 @@ def _links_of_large(rows: DataFrame, percent: int) -> DataFrame:
             hosts = base.join(pairs, (F.col("comp") == F.col("c")) & (F.col("part") == F.col("to")))
             meet = hosts.select("comp", F.col("meeting").alias("part"), "sid", "label", "probe", "shingles")
             meet = meet.unionByName(visits.select("comp", "part", "sid", "label", "probe", "shingles"))
-            # a probe that meets its own block is there twice
-            meet = meet.groupBy("comp", "part", "sid", "label").agg(F.max("probe").alias("probe"), F.first("shingles").alias("shingles"))
+        # a probe that meets its own block is there twice
+        meet = meet.groupBy("comp", "part", "sid", "label").agg(F.max("probe").alias("probe"), F.first("shingles").alias("shingles"))
         ties = cut(ties.unionByName(_meet(meet, percent)))
     return ties
 
 
+def _bucketed(member: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """From rows (cid, key): the sorted `cids` of every bucket that is small, and the rows of large ones (cid, key, least), or
+    None if there are none. Buckets above a bound hold so large a share of all rows that they are few, and are broadcast."""
+    buckets = cut(member.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("least")).where("size > 1"))
+    seen = buckets.agg(F.sum("size").alias("n"), F.max("size").alias("most")).first()
+    bound = max(SMALL_BUCKET, (seen["n"] or 0) // HOT_BUCKETS)
+    hot = F.broadcast(buckets.where(F.col("size") > bound))
+    placed = member.join(hot.select("key"), "key", "left_anti").join(buckets.where(F.col("size") <= bound), "key")
+    lists = placed.where(F.col("size") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("cids")).select("cids")
+    if (seen["most"] or 0) <= SMALL_BUCKET:
+        return lists, None
+    columns = ["cid", "key", "least"]
+    return lists, placed.where(F.col("size") > SMALL_BUCKET).select(columns).unionByName(member.join(hot, "key").select(columns))
+
+
+def _coarse_ties(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) between classes: their components hold every pair that may be similar enough.
+
+    A pair that shares a small bucket meets there. One that shares large buckets only meets in those that two of its bands
+    make; with one band in common and that a large one it would not, which has a chance of about 2e-5 at the threshold.
+    """
+    lists, large = _bucketed(classes.select("cid", F.explode("bands").alias("key")))
+    stars = None
+    if large is not None:
+        both = cut(large.groupBy("cid").agg(F.array_sort(F.collect_set("key")).alias("keys")))  # as many as there are bands
+        first = F.posexplode("keys").alias("at", "one")
+        pairs = both.select("cid", "keys", first).select("cid", "one", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("two"))
+        small, large = _bucketed(pairs.select("cid", F.xxhash64("one", "two").alias("key")))
+        lists = lists.unionByName(small)
+        if large is not None:
+            stars = large.where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
+    lists = lists.distinct()
+    listed = lists.select(F.xxhash64("cids").alias("lid"), F.explode("cids").alias("cid")).join(classes.select("cid", "sketch"), "cid")
+    forest = listed.repartition("lid").sortWithinPartitions("lid", "cid").select("lid", "cid", "sketch").mapInPandas(_forest(percent), "a long, b long")
+    return forest if stars is None else forest.unionByName(stars)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: `doc_id, n_shingles, component_id, kept, text_key`.
 
     Two documents are linked if 100 * intersection >= `percent` * union of their sets of distinct `k`-word shingles (words:
     runs of anything but blank and U+0009 to U+000D, A-Z lower-cased; fewer than `k` words: the sequence is one shingle).
-    `component_id` is the smallest id reachable over links, `kept` tells the document with that id. A band set loses a pair
-    at the threshold with a chance below 1e-5; every pair that is found is verified on full sets of 64-bit hashes.
+    `component_id` is the smallest id reachable over links, `kept` tells the document with that id. The bands lose a pair
+    at the threshold with a chance below 1e-5 (5e-5 where all its buckets are large); every pair that is found is verified on full sets of 64-bit hashes.
 
     Nulls: a null text, like one without words, has no shingles and is linked with nothing; a null id never is a
     component's id where another exists. Repeated rows share a class; ties cannot arise, as ids decide. An empty table
@@ -234,19 +274,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = made.where("sid IS NOT NULL").groupBy("sid")
     classes = cut(classes.agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("cid").alias("cid"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
-    member = classes.select("cid", F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("least")).where("size > 1")
-    buckets = cut(buckets)
-    # a bucket above the bound holds so large a share of all memberships that there are few of them
-    bound = max(SMALL_BUCKET, classes.count() * bands_for(percent / 100, COORDINATES)[0] // HOT_BUCKETS)
-    hot = F.broadcast(buckets.where(F.col("size") > bound))
-    placed = member.join(hot.select("key"), "key", "left_anti").join(buckets.where(F.col("size") <= bound), "key")
-    tied = placed.where(F.col("size") > SMALL_BUCKET).select("cid", "least").unionByName(member.join(hot, "key").select("cid", "least"))
-    stars = tied.where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"))
-    lists = placed.where(F.col("size") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("cids")).select("cids").distinct()
-    listed = lists.select(F.xxhash64("cids").alias("lid"), F.explode("cids").alias("cid")).join(classes.select("cid", "sketch"), "cid")
-    forest = listed.repartition("lid").sortWithinPartitions("lid", "cid").select("lid", "cid", "sketch").mapInPandas(_forest(percent), "a long, b long")
-    coarse = components(stars.unionByName(forest))
+    coarse = components(_coarse_ties(classes, percent))
 
     comp = coarse.select(F.col("node").alias("cid"), F.col("root").alias("comp")).unionByName(coarse.select(F.col("root").alias("cid"), F.col("root").alias("comp")).distinct())
     comp = comp.join(classes.select("cid", "sid", "rep", "n"), "cid").drop("cid")
@@ -257,7 +285,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def shingled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for piece in chunks(frames, "text"):
-            piece = piece[~piece["text_key"].isin(seen)].drop_duplicates("text_key")  # repeated rows of a representative
+            piece = piece[[key not in seen for key in piece["text_key"]]].drop_duplicates("text_key")  # repeated rows of a representative
             seen.update(piece["text_key"])
             sets = shingle_sets(piece["text"].tolist(), k)
             yield pd.DataFrame({"sid": [set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
@@ -281,7 +309,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # only classes with copies or links name another document; the rest name themselves
     moved = classes.where("copies > 1").select("sid", F.col("first_id").alias("component")).unionByName(joined)
     moved = moved.groupBy("sid").agg(F.min("component").alias("component"))
-    out = made.select("doc_id", "text_key", "n_shingles", "sid").join(moved, "sid", "left")
+    # rows of hot classes meet their component on the map side, rows without shingles meet none
+    out = made.select("doc_id", "text_key", "n_shingles", "sid")
+    hot = classes.where(F.col("copies") > max(100, made.count() * HOT_SHARE)).select(F.col("sid").alias("hot"))
+    named_hot = F.broadcast(cut(moved.join(F.broadcast(hot), F.col("sid") == F.col("hot")).select("hot", F.col("component").alias("hot_component"))))
+    out = out.join(named_hot, F.col("sid") == F.col("hot"), "left")
+    settled = F.col("sid").isNull() | F.col("hot").isNotNull()
+    met = out.where(~settled).drop("hot", "hot_component").join(moved, "sid", "left")
+    out = out.where(settled).withColumnRenamed("hot_component", "component").drop("hot").unionByName(met)
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
 

@@ -68,6 +68,32 @@ def test_large_buckets_and_components_too_large_for_a_task(spark, monkeypatch):
     assert got(near_dedup.near_groups(docs(spark, rows), k=3, percent=85)) == brute(rows, 3, 85)
 
 
+def test_a_large_group_beside_texts_with_one_passage(spark, monkeypatch):
+    """Near copies of one text, and texts that only share a passage, in buckets that are large here."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 8)
+    monkeypatch.setattr(near_dedup, "TASK_CLASSES", 16)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, passage = [word() for _ in range(80)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(90):
+        near = list(base)
+        near[rng.randrange(80)] = word()
+        texts += [" ".join(near), " ".join([*passage, *(word() for _ in range(rng.randint(5, 40)))])]
+    rows = list(enumerate(texts))
+    seen, large = [], near_dedup._links_of_large
+    monkeypatch.setattr(near_dedup, "_links_of_large", lambda rows, percent: seen.append(rows.count()) or large(rows, percent))
+    assert got(near_dedup.near_groups(docs(spark, rows), k=3, percent=85)) == brute(rows, 3, 85)
+    assert seen
+
+
+def test_hot_classes_meet_their_component_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_SHARE", 0.01)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(150)] + [(200 + i, " ".join([*base[:59], f"x{i}"])) for i in range(5)] + [(300 + i, None) for i in range(200)] + [(None, "by itself it stands")]
+    assert got(near_dedup.near_groups(docs(spark, rows), k=3, percent=85)) == brute(rows, 3, 85)
+
+
 def test_null_and_repeated_ids_lose_no_link(spark):
     base = [f"w{i}" for i in range(60)]
     near = [*base[:59], "other"]
