@@ -4,14 +4,15 @@ The words of all benchmark items form one automaton of all their substrings. Wor
 each word the automaton knows the longest run of words ending there that some item contains. A run that reaches the
 window length marks its last words as hit; an item shorter than the window counts when it occurs as a whole.
 
-The automaton is broadcast. Items are dealt into automata of at most `MOST_WORDS` words each, so its size is bounded
-whatever the benchmark holds; the documents pass once for each of these.
+The automaton is broadcast. Items come to the driver as a stream and fill automata of at most `MOST_WORDS` words, an item
+with more in overlapping pieces. One automaton is built, used and dropped before the next, so what the driver, a broadcast
+and a worker hold is bounded whatever the benchmark holds; the documents pass once for each of them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ class SuffixAutomaton:
             for k, word in enumerate(words):
                 state = self._extend(state, self.vocab.setdefault(word, len(self.vocab)))
                 ends.append((number, k + 1, state))
-        sizes = [len(words) for _, words in items]
+        sizes = [len(words) for _, words in items]  # pieces of an item share its id
         found: list[set[int]] = [set() for _ in self.next]
         self.at_window = [self._ancestor(s, window) for s in range(len(self.next))]
         whole: dict[int, list[tuple[int, int]]] = {}
@@ -131,21 +132,21 @@ def words_of(text: object) -> list[bytes]:
     return utf8(text).translate(WORD_BYTES).split()
 
 
-def automata(items: Sequence[tuple[object, object]], window: int = WINDOW, most_words: int = MOST_WORDS) -> list[SuffixAutomaton]:
-    """Automata over the items' texts, each of about `most_words` words at most."""
-    parts, now, size = [], [], 0
+def dealt(items: Iterable[tuple[object, object]], window: int = WINDOW, most_words: int = MOST_WORDS) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """(item, words) lists of `most_words` words at most, one list at least. A longer item comes in pieces that share
+    `window` - 1 words, so that each of its windows lies in one of them."""
+    now, size, most_words = [], 0, max(most_words, 2 * window)
     for item, text in items:
         words = words_of(text)
-        if not words:
-            continue
-        if now and size + len(words) > most_words:
-            parts.append(now)
-            now, size = [], 0
-        now.append((item, words))
-        size += len(words)
-    if now or not parts:
-        parts.append(now)
-    return [SuffixAutomaton(p, window) for p in parts]
+        step = most_words - window + 1
+        for at in range(0, len(words) if len(words) <= most_words else len(words) - window + 1, step if len(words) > most_words else max(1, len(words))):
+            piece = words[at : at + most_words]
+            if now and size + len(piece) > most_words:
+                yield now
+                now, size = [], 0
+            now.append((item, piece))
+            size += len(piece)
+    yield now
 
 
 def scan_documents(
@@ -165,58 +166,85 @@ def scan_documents(
 
     Nulls: a null document or item text has no words; a null item id counts as the text "null"; a null doc id stays null.
     Repeated rows are scanned one by one; items that repeat an id count once. Without documents the result is empty,
-    without items nothing is hit. Very long texts are scanned whole, one at a time. Other columns are ignored.
+    without items nothing is hit. Very long texts are scanned whole, one at a time. Other columns are ignored. `longest` is the
+    longest run of words that an item (or a piece of one longer than `most_words`) contains.
+
+    Items that fit into one automaton take one pass. Otherwise documents are numbered and written once, each automaton's
+    hits are noted by number, and the notes meet the texts at the end.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = [(str(r[0]) if r[0] is not None else "null", r[1]) for r in benchmark.select(item_col, item_text_col).toLocalIterator()]
+    items = ((str(r[0]) if r[0] is not None else "null", r[1]) for r in benchmark.select(item_col, item_text_col).toLocalIterator())
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
-    frame = frame.withColumns({"__hits": F.lit(None).cast("binary"), "__items": F.array().cast("array<string>"), "longest": F.lit(0).cast("long")})
-    built = automata(items, window, most_words)
-    for k, automaton in enumerate(built):
-        held = spark.sparkContext.broadcast(automaton)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + (", cleaned string" if cleaned else "")
 
-        def scan(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+    def row(text: object, words: list[bytes], hit: np.ndarray, names: list[str], longest: int) -> tuple:
+        count = int(hit.sum())
+        sha = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        return len(words), count, len(names), sha, count > 0, longest, (without(utf8(text), hit) if count else text) if cleaned else None
+
+    def results(piece: pd.DataFrame, rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "cleaned"])
+        made.insert(0, "doc_id", piece["doc_id"])
+        made = made.assign(**{c: piece[f"__keep_{c}"] for c in keep})
+        return made[["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", *keep, *(["cleaned"] if cleaned else [])]]
+
+    lists = dealt(items, window, most_words)
+    held = spark.sparkContext.broadcast(SuffixAutomaton(next(lists), window))
+    following = next(lists, None)
+    if following is None:
+
+        def scan_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = held.value
             for piece in chunks(frames, "__text"):
-                hits, names, longest = [], [], []
-                for text, before, had, most in zip(piece["__text"], piece["__hits"], piece["__items"], piece["longest"], strict=True):
+                rows = []
+                for text in piece["__text"]:
                     words = words_of(text)
-                    hit = np.unpackbits(np.frombuffer(before, np.uint8), count=len(words)).astype(bool) if before else np.zeros(len(words), bool)
-                    found: set[int] = set()
-                    longest.append(max(most, automaton.scan(words, hit, found)))
-                    hits.append(np.packbits(hit).tobytes() if hit.any() else None)
-                    names.append(sorted({*had, *(automaton.ids[i] for i in found)}))
-                yield piece.assign(__hits=hits, __items=names, longest=longest)
+                    hit, found = np.zeros(len(words), bool), set()
+                    longest = automaton.scan(words, hit, found)
+                    rows.append(row(text, words, hit, sorted({automaton.ids[i] for i in found}), longest))
+                yield results(piece, rows)
+
+        return frame.mapInPandas(scan_all, schema)
 
-        frame = frame.mapInPandas(scan, frame.schema)
-        if k + 1 < len(built):
-            frame = cut(frame)  # one automaton in a worker at a time
+    base = cut(frame.withColumn("__row", F.monotonically_increasing_id()))
+    notes = None
+    while held is not None:
+
+        def note(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            automaton = held.value
+            for piece in chunks(frames, "__text"):
+                out = []
+                for number, text in zip(piece["__row"], piece["__text"], strict=True):
+                    words = words_of(text)
+                    hit, found = np.zeros(len(words), bool), set()
+                    longest = automaton.scan(words, hit, found)
+                    if longest:
+                        out.append((number, np.packbits(hit).tobytes() if hit.any() else None, sorted({automaton.ids[i] for i in found}), longest))
+                yield pd.DataFrame(out, columns=["row", "hits", "names", "longest"])
+
+        made = cut(base.select("__row", "__text").mapInPandas(note, "row long, hits binary, names array<string>, longest long"))
+        notes = made if notes is None else notes.unionByName(made)
+        held.destroy()
+        held = spark.sparkContext.broadcast(SuffixAutomaton(following, window)) if following is not None else None
+        following = next(lists, None) if held is not None else None
+    noted = notes.groupBy("row").agg(F.collect_list("hits").alias("__hits"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("__items"), F.max("longest").alias("__longest"))
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in chunks(frames, "__text"):
-            n_words, n_hit, texts = [], [], []
-            for text, hits in zip(piece["__text"], piece["__hits"], strict=True):
-                data = utf8(text)
-                count = len(data.translate(WORD_BYTES).split())
-                hit = np.unpackbits(np.frombuffer(hits, np.uint8), count=count).astype(bool) if hits else None
-                n_words.append(count)
-                n_hit.append(0 if hit is None else int(hit.sum()))
-                if cleaned:
-                    texts.append(text if hit is None else without(data, hit))
-            names = piece["__items"].map(list)
-            out = {
-                "doc_id": piece["doc_id"], "n_words": n_words, "n_hit": n_hit, "n_items": names.map(len),
-                "items_sha256": names.map(lambda x: hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()),
-                "contaminated": np.array(n_hit) > 0, "longest": piece["longest"],
-            }
-            out |= {c: piece[f"__keep_{c}"] for c in keep} | ({"cleaned": texts} if cleaned else {})
-            yield pd.DataFrame(out)
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
-    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + (", cleaned string" if cleaned else "")
-    return frame.mapInPandas(finish, schema)
+            rows = []
+            for text, hits, names, longest in zip(piece["__text"], piece["__hits"], piece["__items"], piece["__longest"], strict=True):
+                words = words_of(text)
+                hit = np.zeros(len(words), bool)
+                for bits in hits if hits is not None else ():
+                    hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
+                rows.append(row(text, words, hit, list(names) if names is not None else [], longest))
+            yield results(piece, rows)
+
+    met = base.join(noted, F.col("__row") == F.col("row"), "left").drop("row", "__row").withColumn("__longest", F.coalesce("__longest", F.lit(0).cast("long")))
+    return met.mapInPandas(finish, schema)
 
 
 def without(data: bytes, hit: np.ndarray) -> str:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import weakref
 
 import pytest
 
@@ -54,7 +55,7 @@ def cases(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("most_words", [10**6, 60])
+@pytest.mark.parametrize("most_words", [10**6, 60, 20])
 def test_equals_brute_force(spark, seed, most_words):
     rows, items = cases(seed)
     assert got(d.scan_documents(docs(spark, rows), bench(spark, items), most_words=most_words)) == brute(rows, items)
@@ -82,3 +83,25 @@ def test_spans_are_cut_out_and_mostly_benchmark_goes(spark):
     kept = {r["doc_id"]: r["text"] for r in d.decontaminate(frame, bench(spark, [(1, item)])).collect()}
     assert kept == {1: clean, 2: "Before it: ! After it, there is more than enough to keep in this text today.", 4: None}
     assert d.decontaminate(frame, bench(spark, [(1, item)])).columns == frame.columns
+
+
+def test_the_driver_holds_one_automaton_at_a_time(spark, monkeypatch):
+    make, made = d.SuffixAutomaton.__init__, []
+
+    def count(self, *args):
+        assert not any(ref() for ref in made)  # the ones before are gone
+        made.append(weakref.ref(self))
+        make(self, *args)
+
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(9)] + [(100, " ".join(f"long{j}" for j in range(500)))]
+    lists = list(d.dealt(items, most_words=120))
+    assert len(lists) >= 3 and all(sum(len(w) for _, w in part) <= 120 for part in lists)
+    monkeypatch.setattr(d.SuffixAutomaton, "__init__", count)
+    rows = [(1, items[0][1]), (2, items[8][1] + " and " + items[3][1]), (3, " ".join(items[9][1].split()[100:130])), (4, "nothing")]
+    assert got(d.scan_documents(docs(spark, rows), bench(spark, items), most_words=120)) == brute(rows, items)
+    assert len(made) == len(lists)
+
+
+def test_one_automaton_takes_one_pass(spark):
+    plan = d.scan_documents(docs(spark, [(1, "a")]), bench(spark, [(1, "a b")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
