@@ -4,8 +4,9 @@ Only DataFrame functions are used. A row needs nothing but its own text, so ther
 first character of a run or at the end of the match before (`\\G`), and repeat possessively: a long run without a match
 is passed once, and no repetition recurses. A text with no `@`, `+` or digit skips the patterns that need one.
 
-Kinds: email, ip, card and phone as their patterns say (the base); iban (checked mod 97) and ssn, which counts only
-beside words that name it. Of an iban printed in groups of four the pattern finds the head; mod 97 tells how many of the
+Kinds: email, ip, card and phone as their patterns say (the base); iban (checked mod 97); ssn, which counts only beside
+words that name it; secret, keys and tokens in their issuers' formats, heads of private keys, and values with a digit that
+are set to a name such as password or api_key. Of an iban printed in groups of four the pattern finds the head; mod 97 tells how many of the
 groups after it belong to it. Every span has a score: what its kind gives, raised by context words nearby.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -25,11 +26,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}(?![A-Za-z0-9_])|(?=(?:\x20[A-Z0-9]{4}){2}\x20[A-Z0-9]))",
     "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
+    "secret": r"-----BEGIN\x20[A-Z\x20]{0,30}PRIVATE\x20KEY-----|(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_])|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|AIza[A-Za-z0-9_-]{35}|sk_(?:live|test)_[A-Za-z0-9]{16,}|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x22\x27]?[\x20\x09]{0,3}[:=][\x20\x09]{0,3}[\x22\x27]?[^\x00-\x20\x22\x27,;]{8,})",
 }
+#: What a proposed secret must be: of an issuer's format, or with a digit in what is set.
+SECRET = r"^(?:-----|AKIA|ASIA|gh[pousr]_|xox|AIza|sk_)|[:=].*[0-9]"
 #: An iban printed in groups, with what may follow it.
 GROUPS = r"^[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"
 #: What a text must hold for the pattern to have a chance.
-NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]"}
+NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]", "secret": r"PRIVATE|AKIA|ASIA|gh[pousr]_|xox|AIza|sk_|(?i:passw|pwd|secret|token|key)"}
 #: (score alone, score beside context words, context words)
 SCORES = {
     "email": (0.9, 1.0, "mail|contact|write"),
@@ -38,6 +43,7 @@ SCORES = {
     "phone": (0.7, 1.0, "phone|call|tel|mobile|fax|contact"),
     "iban": (0.9, 1.0, "iban|account|bank|transfer"),
     "ssn": (0.3, 0.9, "ssn|social security"),
+    "secret": (0.9, 1.0, "aws|credential|credentials|login|private|config"),
 }
 THRESHOLD, NEARBY = 0.5, 40
 #: Matches whose offsets are summed together.
@@ -92,6 +98,8 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(16, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(match)).between(8, 15)
+    if kind == "secret":
+        return match.rlike(SECRET)
     return _iban(match) if kind == "iban" else F.lit(True)
 
 
@@ -158,16 +166,26 @@ def op9_pii(spark, sf_dir):
     count = lambda kind: F.size(F.filter("found", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in BASE]
     base = F.filter("found", lambda x: x.kind.isin(*BASE))
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    scores = F.array_join(F.transform("found", lambda x: x.score.cast("string")), ",").alias("scores")  # of all spans, in their order
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), scores)
 
 
-def _kind_sql(kind: str, pattern: str, check: str) -> str:
+def _kind_sql(kind: str, check: str) -> str:
     """Spans of one kind as a list of structs; `x` is the match in `check`."""
     return f"""
   list_filter(list_transform(range(1, len({kind}_m) + 1), lambda i: {{
       'kind': '{kind}', 'x': {kind}_m[i],
       'start': list_sum(list_transform({kind}_g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform({kind}_m[1:i-1], lambda y: length(y))), 0)
-  }}), lambda s: {check.replace('@x', 's.x')}) AS {kind}"""
+  }}), lambda s: {check.replace('@x', 's.x')}) AS {kind}_f"""
+
+
+def _scored_sql(kind: str) -> str:
+    """The same spans with their scores as text."""
+    alone, beside, words = SCORES[kind]
+    return f"""
+  list_transform({kind}_f, lambda s: {{'kind': s.kind, 'start': CAST(s.start AS BIGINT), 'end': CAST(s.start AS BIGINT) + length(s.x), 'score': CASE WHEN regexp_matches(
+        t[greatest(0, CAST(s.start AS BIGINT) - {NEARBY}) + 1 : CAST(s.start AS BIGINT)] || ' ' || t[CAST(s.start AS BIGINT) + length(s.x) + 1 : CAST(s.start AS BIGINT) + length(s.x) + {NEARBY}],
+        '(?i)(^|[^a-z])({words})([^a-z]|$)') THEN '{beside}' ELSE '{alone}' END}}) AS {kind}"""
 
 
 _SQL_PATTERNS = {
@@ -177,6 +195,7 @@ _SQL_PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "secret": PATTERNS["secret"].replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b"),
 }
 _DIGITS = "regexp_replace(@x, '[^0-9]', '', 'g')"
 _SQL_CHECKS = {
@@ -188,24 +207,26 @@ _SQL_CHECKS = {
     "iban": "list_reduce(list_prepend(0, list_transform(string_split(@x[5:] || @x[1:4], ''), lambda c: ascii(c))), "
     "lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1",
     "ssn": "true",
+    "secret": f"regexp_matches(@x, '{SECRET}')",
 }
 
 
 def _sql() -> str:
     parts = ", ".join(f"regexp_extract_all(t, '{p}') AS {k}_m, string_split_regex(t, '{p}') AS {k}_g" for k, p in _SQL_PATTERNS.items())
-    lists = ",".join(_kind_sql(k, p, _SQL_CHECKS[k]) for k, p in _SQL_PATTERNS.items())
-    near = f"""list_filter(ssn, lambda s: regexp_matches(
-        t[greatest(0, CAST(s.start AS BIGINT) - {NEARBY}) + 1 : CAST(s.start AS BIGINT)] || ' ' || t[CAST(s.start AS BIGINT) + length(s.x) + 1 : CAST(s.start AS BIGINT) + length(s.x) + {NEARBY}],
-        '(?i)(^|[^a-z])({SCORES['ssn'][2]})([^a-z]|$)'))"""
-    text = lambda v: f"list_transform({v}, lambda s: s.kind || ':' || CAST(CAST(s.start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s.start AS BIGINT) + length(s.x) AS VARCHAR))"
-    base = f"array_to_string(list_concat({text('email')}, {text('ip')}, {text('card')}, {text('phone')}), ',')"
-    every = f"array_to_string(list_concat({text('email')}, {text('ip')}, {text('card')}, {text('phone')}, {text('iban')}, {text(near)}), ',')"
+    lists = ",".join(_kind_sql(k, _SQL_CHECKS[k]) for k in _SQL_PATTERNS)
+    scored = ",".join(_scored_sql(k) for k in _SQL_PATTERNS)
+    text = lambda v: f"array_to_string(list_transform({v}, lambda s: s.kind || ':' || CAST(s.start AS VARCHAR) || ':' || CAST(s.end AS VARCHAR)), ',')"
+    base = f"list_concat({', '.join(BASE)})"
+    every = f"list_concat({', '.join(KINDS)})"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 cut AS (SELECT doc_id, t, {parts} FROM d),
-found AS (SELECT doc_id, t, {lists} FROM cut)
-SELECT doc_id, {', '.join(f'CAST(len({k}) AS BIGINT) AS n_{k}' for k in BASE)}, sha256({base}) AS base_sha256, {every} AS spans
-FROM found
+found AS (SELECT doc_id, t, {lists} FROM cut),
+scored AS (SELECT doc_id, {scored} FROM found),
+chosen AS (SELECT * REPLACE (list_filter(ssn, lambda s: CAST(s.score AS DOUBLE) >= {THRESHOLD}) AS ssn) FROM scored)
+SELECT doc_id, {', '.join(f'CAST(len({k}) AS BIGINT) AS n_{k}' for k in BASE)}, sha256({text(base)}) AS base_sha256, {text(every)} AS spans,
+       array_to_string(list_transform({every}, lambda s: s.score), ',') AS scores
+FROM chosen
 """
 
 
