@@ -17,13 +17,15 @@ FIRST_LIMIT = 3
 
 
 class SequentialTable:
-    """`table` of `store` by `key`. Equal keys are allowed."""
+    """`table` of `store` by `key`. Equal keys are allowed. The limit and the extent of the main part are kept with the table,
+    so that they hold when it is opened again."""
 
     def __init__(self, store: Store, table: str, key: str, limit: int | None = None):
         self.store, self.table, self.key = store, table, key
-        self.limit = limit if limit is not None else FIRST_LIMIT
-        self.main_seq = 0  # changes up to this one are in the main part
-        self.main_rows = 0
+        notes = store.manifest(table).notes
+        self.limit = limit if limit is not None else notes.get("limit", FIRST_LIMIT)
+        self.main_seq = notes.get("main_seq", 0)  # changes up to this one are in the main part
+        self.main_rows = notes.get("main_rows", 0)
 
     def delta(self) -> DataFrame:
         """Live rows that came after the last compaction."""
@@ -37,9 +39,11 @@ class SequentialTable:
 
     def reconstruct(self) -> None:
         """Folds delta and main part into one in key order, and sets the next limit."""
-        self.store.compact(self.table, self.key)
-        self.main_seq, self.main_rows = self.store.manifest(self.table).seq, self.store.count(self.table)
-        self.limit = max(1, int(math.log2(self.main_rows + self.limit)))
+        with self.store.lock(self.table):
+            m = self.store.manifest(self.table)
+            self.main_seq, self.main_rows = m.seq + 1, m.rows
+            self.limit = max(1, int(math.log2(self.main_rows + self.limit)))
+            self.store.compact(self.table, self.key, {"limit": self.limit, "main_seq": self.main_seq, "main_rows": self.main_rows})
 
     def search(self, value) -> DataFrame:
         """The first row with the key in order of insertion, or none."""
@@ -59,8 +63,10 @@ class SequentialTable:
         return self.store.delete(self.table, F.col(self.key) == value) > 0
 
     def truncate(self) -> None:
-        self.store.truncate(self.table)
-        self.main_seq, self.main_rows = self.store.manifest(self.table).seq, 0
+        with self.store.lock(self.table):
+            self.store.truncate(self.table)
+            self.main_seq, self.main_rows = self.store.manifest(self.table).seq, 0
+            self.store.note(self.table, main_seq=self.main_seq, main_rows=0)
 
     def size(self) -> int:
         return self.store.count(self.table)

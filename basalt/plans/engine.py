@@ -22,6 +22,8 @@ from .parser import parse
 
 #: Hash buckets of an index.
 BUCKETS = 64
+#: An index is written anew once this share of its rows, and this many at least, have come since.
+STALE_SHARE, STALE_ROWS = 0.2, 1000
 
 
 @dataclass
@@ -100,9 +102,29 @@ class Engine:
             texts.append(tuple(None if v is None else ", ".join(map(str, v)) if isinstance(v, list) else str(v) for v in row))
         names = m.schema.names
         raw = self.spark.createDataFrame(texts, T.StructType([T.StructField(n, T.StringType()) for n in names]))
-        n = self.store.append(s.table, self.typed(raw.coalesce(1), m.types))
+        n = self.append(s.table, self.typed(raw.coalesce(1), m.types))
         return Result(message=f"{n} rows inserted into {s.table}", count=n)
 
+    def append(self, table: str, rows: DataFrame) -> int:
+        """Adds rows by place, and brings the table's indexes up to date where they are empty or much has come since."""
+        n = self.store.append(table, rows)
+        if n:
+            self.refresh(table)
+        return n
+
+    def refresh(self, table: str, every: bool = False) -> None:
+        """Writes indexes anew that are empty or stale, or all of them."""
+        m = self.store.manifest(table)
+        for column, entry in m.indexes.items():
+            come = m.rows - entry.get("rows", 0)
+            if every or (m.rows and (entry["empty"] or come > max(STALE_ROWS, STALE_SHARE * m.rows))):
+                self.create_index(table, entry["kind"], column, entry["step"])
+
+    def compact(self, table: str, key: str | None = None) -> None:
+        """Folds the table into one part and its indexes with it."""
+        self.store.compact(table, key)
+        self.refresh(table, every=True)
+
     def typed(self, raw: DataFrame, columns: list[tuple[str, ColumnType]]) -> DataFrame:
         """Text columns as typed ones. A number beyond 32 bits is an error."""
         out = []
@@ -127,24 +149,32 @@ class Engine:
     # -- indexes
 
     def create_index(self, table: str, kind: str, column: str, step: float = 1.0) -> None:
-        """Writes the live rows once more, arranged for `kind`; a later change does not touch the copy, see `_scan`."""
-        m = self.store.manifest(table)
-        if column not in m.schema.names:
-            raise SqlError(f"unknown column: {column}")
-        if kind == "rtree" and not isinstance(m.schema[column].dataType, T.ArrayType):
-            raise SqlError("an rtree index needs a column of points")
-        path, rows = self.store.new_path(table, "index"), self.store.stored(table, m)
-        if kind == "hash":
-            indexes.write_hashed(rows, column, path, BUCKETS)
-        elif kind == "rtree":
-            indexes.write_gridded(rows, column, path, step)
-        else:
-            indexes.write_sorted(rows, column, path)
-        m.indexes[column] = {"kind": kind, "path": path, "seq": m.seq, "step": step, "empty": not m.parts}
-        self.store.save(table, m)
+        """Writes the live rows once more, arranged for `kind`; what changes later is read beside the copy, see `_scan`, until the
+        index is refreshed. Without rows the index is only declared."""
+        with self.store.lock(table):
+            m = self.store.manifest(table)
+            if column not in m.schema.names:
+                raise SqlError(f"unknown column: {column}")
+            if kind == "rtree" and not isinstance(m.schema[column].dataType, T.ArrayType):
+                raise SqlError("an rtree index needs a column of points")
+            path = self.store.new_path(table, "index") if m.parts else ""
+            if path:
+                rows = self.store.stored(table, m)
+                if kind == "hash":
+                    indexes.write_hashed(rows, column, path, BUCKETS)
+                elif kind == "rtree":
+                    indexes.write_gridded(rows, column, path, step)
+                else:
+                    indexes.write_sorted(rows, column, path)
+            m.indexes[column] = {"kind": kind, "path": path, "seq": m.seq, "step": step, "empty": not path, "rows": m.rows}
+            self.store.save(table, m)
 
     def _scan(self, s: ast.Select, m: Manifest) -> DataFrame:
-        """The base table, or an index that helps: its copy, plus what changed since, minus what was deleted since."""
+        """The base table, or an index that helps: its copy, plus what changed since, minus what was deleted since. An index that
+        the statement names and that is still empty is written first."""
+        if s.using is not None and m.rows and any(e["empty"] and e["kind"] == s.using for e in m.indexes.values()):
+            self.refresh(s.table)
+            m = self.store.manifest(s.table)
         for column, value in _equalities(s.where):
             entry = m.indexes.get(column)
             if column in m.schema.names and isinstance(m.schema[column].dataType, T.StringType) != isinstance(value, str):
@@ -185,16 +215,17 @@ class Engine:
 
     # -- uploads
 
-    def upload(self, path: str, table: str = "uploaded_table", multi_line: bool = True) -> dict:
-        """Stores a CSV file as a table of text columns; see `read_upload`. Returns the report."""
+    def upload(self, path: str, table: str = "uploaded_table", multi_line: bool | None = None, file_name: str | None = None) -> dict:
+        """Stores a CSV file as a table of text columns; see `read_upload`. Returns the report. `recordCount` counts what was read,
+        failed records too."""
         if self.store.has(table):
             raise SqlError(f"table exists: {table}")
         up = csv_source.read_upload(self.spark, path, multi_line)
         kind = ColumnType("VARCHAR", 100)
         self.store.create(table, [(h, kind) for h in up.headers])
-        inserted = self.store.append(table, self.typed(up.rows, [(h, kind) for h in up.headers])) if up.headers else 0
+        inserted = self.append(table, self.typed(up.rows, [(h, kind) for h in up.headers])) if up.headers else 0
         return {
-            "fileName": path.rsplit("/", 1)[-1], "tableName": table.lower(), "fileSize": up.size, "recordCount": self.store.count(table),
+            "ok": True, "fileName": file_name or path.rsplit("/", 1)[-1], "tableName": table.lower(), "fileSize": up.size, "recordCount": inserted + up.failed,
             "inserted": inserted, "failed": up.failed, "headers": up.headers, "rows": up.preview,
             "message": f"table {table.lower()} created with {inserted} rows",
         }

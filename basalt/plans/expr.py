@@ -48,9 +48,9 @@ def _function(name: str, given: list[Typed]) -> Typed:
     if name == "str" and count == 1:
         return Typed(first.column.cast("string"), "text")
     if name == "abs" and count == 1:
-        return Typed(F.abs(first.column), "number")
+        return Typed(F.when(first.column < 0, F.try_subtract(F.lit(0), first.column)).otherwise(first.column), "number")
     if name == "round" and count == 1:
-        return Typed(F.bround(first.column).cast("long"), "number")
+        return Typed(F.bround(first.column).try_cast("long"), "number")
     if name in ("lower", "upper") and count == 1:
         return Typed(getattr(F, name)(first.column), "text")
     if name in ("min", "max") and count >= 2 and len({g.type for g in given}) == 1:

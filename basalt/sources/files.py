@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 from pyspark.sql import SparkSession
 
 
@@ -25,19 +28,44 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside `path` and renames, so that a reader sees the old text or the new one."""
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file that must not exist yet; False if it does. The text is written beside it and renamed, and the rename does
+    not overwrite, so that a file is there whole or not at all, and one of several writers gets the name."""
     jvm, p, fs = _path(spark, path)
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    stream = fs.create(beside, True)
+    beside = jvm.org.apache.hadoop.fs.Path(p.getParent(), f"_{uuid.uuid4().hex}")
+    stream = fs.create(beside, False)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if not fs.rename(beside, p):
-        fs.delete(p, False)
-        if not fs.rename(beside, p):
-            raise OSError(f"cannot write {path}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), fs.getConf())
+    plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(beside, p, plain)
+    except Exception:
+        fs.delete(beside, False)
+        if fs.exists(p):
+            return False
+        raise
+    return True
+
+
+def write_stream(spark: SparkSession, path: str, pieces: Iterable[bytes]) -> None:
+    """Writes a new file piece by piece."""
+    _, p, fs = _path(spark, path)
+    stream = fs.create(p, False)
+    try:
+        for piece in pieces:
+            stream.write(bytearray(piece))
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a folder to a name that is free."""
+    jvm, p, fs = _path(spark, old)
+    if not fs.rename(p, jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"cannot rename {old}")
 
 
 def children(spark: SparkSession, path: str) -> list[str]:

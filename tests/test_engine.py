@@ -156,10 +156,97 @@ def test_names_with_signs(engine, tmp_path):
     assert engine.sql("SELECT `country/region` FROM prueba WHERE `observed_length_(m)` > 2").first()[0] == "Peru"
 
 
-def test_stream_of_appends(people, spark):
+def streamed(store, table, spark, name):
     from basalt.streaming.appends import stream_appends
 
-    q = stream_appends(people.store, "people").writeStream.format("memory").queryName("appended").start()
+    q = stream_appends(store, table).writeStream.format("memory").queryName(name).start()
     q.processAllAvailable()
     q.stop()
-    assert spark.table("appended").count() == 5
+    return spark.table(name).count()
+
+
+def test_stream_of_appends(people, spark):
+    assert streamed(people.store, "people", spark, "appended") == 5
+
+
+def test_stream_shows_inserts_only(people, spark):
+    rid = people.store.stored("people").first()["_rid"]
+    people.store.update("people", rid, {"name": F.lit("x")})
+    people.execute("DELETE FROM people WHERE id = 2")
+    people.compact("people", "id")
+    assert people.store.count("people") == 4 and streamed(people.store, "people", spark, "after_compact") == 5
+
+
+def test_a_failed_insert_leaves_nothing_to_be_seen(people, spark, monkeypatch):
+    bad = spark.range(20).selectExpr("IF(id < 10, CAST(id AS INT), CAST(raise_error('no') AS INT)) AS id", "'x' AS name", "CAST(1 AS FLOAT) AS age")
+    with pytest.raises(Exception, match="no"):
+        people.store.append("people", bad)
+    monkeypatch.setattr(people.store, "save", lambda *a: (_ for _ in ()).throw(RuntimeError("crash before the manifest")))
+    with pytest.raises(RuntimeError):
+        people.store.append("people", spark.range(5).selectExpr("CAST(id AS INT) AS id", "'x' AS name", "CAST(1 AS FLOAT) AS age"))
+    monkeypatch.undo()
+    assert ids(people.sql("SELECT * FROM people")) == [1, 2, 3, 4, 5]
+    assert people.store.vacuum("people") and people.store.count("people") == 5
+
+
+def test_of_two_writers_the_second_is_told(people):
+    from basalt.operators.store import Store
+
+    other = Store(people.spark, people.store.root)
+    mine, theirs = people.store.manifest("people"), other.manifest("people")
+    people.store.save("people", mine)
+    with pytest.raises(SqlError, match="another writer"):
+        other.save("people", theirs)
+
+
+def test_inserts_at_once_lose_nothing(people):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: people.execute(f"INSERT INTO people VALUES ({i}, 'T', 1)"), range(10, 18)))
+    assert ids(people.sql("SELECT * FROM people")) == [1, 2, 3, 4, 5, *range(10, 18)]
+    assert people.store.stored("people").select("_rid").distinct().count() == 13
+
+
+def files_of(rows):
+    return {f.rsplit("/", 2)[1] for f in rows.inputFiles()}
+
+
+def test_a_declared_index_is_filled_and_used(engine):
+    engine.execute("CREATE TABLE d (id INT INDEX btree, name VARCHAR[5] INDEX hash)")
+    engine.execute("INSERT INTO d VALUES (1, 'a'), (2, 'b')")
+    found = engine.sql("SELECT * FROM d WHERE id = 2 USING btree")
+    assert ids(found) == [2] and all(f.startswith("index-") for f in files_of(found))
+    assert "index-" in engine.sql("SELECT * FROM d WHERE name = 'a' USING hash").inputFiles()[0]
+    engine.execute("INSERT INTO d VALUES (2, 'c')")
+    assert ids(engine.sql("SELECT * FROM d WHERE id = 2 USING btree")) == [2, 2]
+    engine.store.compact("d")
+    found = engine.sql("SELECT * FROM d WHERE id = 2 USING btree")
+    assert ids(found) == [2, 2] and all(f.startswith("index-") for f in files_of(found))
+    engine.store.truncate("d")
+    assert ids(engine.sql("SELECT * FROM d WHERE id = 2 USING btree")) == [] and set(engine.store.manifest("d").indexes) == {"id", "name"}
+
+
+def test_a_stale_index_is_written_anew(engine, spark):
+    engine.execute("CREATE TABLE d (id INT INDEX btree)")
+    for start in (0, 2000, 4000):
+        engine.append("d", spark.range(start, start + 2000).selectExpr("CAST(id AS INT) AS id"))
+    m = engine.store.manifest("d")
+    assert m.indexes["id"]["rows"] == m.rows == 6000
+
+
+def test_many_delete_lists_are_folded(engine, spark):
+    from basalt.operators import store
+
+    engine.execute("CREATE TABLE d (id INT)")
+    engine.store.append("d", spark.range(40).selectExpr("CAST(id AS INT) AS id"))
+    for i in range(store.MOST_LISTS + 1):
+        engine.execute(f"DELETE FROM d WHERE id = {i}")
+    m = engine.store.manifest("d")
+    assert len(m.deletes) == 1 and m.gone == 17 and ids(engine.sql("SELECT * FROM d")) == list(range(17, 40)) and m.rows == 23
+
+
+def test_functions_that_overflow_drop_the_row(spark):
+    rows = spark.createDataFrame([(1, -(2**31), float("nan")), (2, -5, 1e30), (3, 4, 2.5)], "id int, n int, d double")
+    assert ids(query(rows, "SELECT id FROM t WHERE abs(n) > 3")) == [2, 3]
+    assert ids(query(rows, "SELECT id FROM t WHERE round(d) = 2")) == [3]

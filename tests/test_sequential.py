@@ -46,6 +46,23 @@ def test_minus_one_is_a_key_like_any_other(table, spark):
     assert table.size() == 0
 
 
+def test_limit_and_main_part_outlive_the_object(table, spark):
+    add(table, spark, 5, 4, 3)
+    add(table, spark, 2)
+    again = SequentialTable(table.store, "s", "id")
+    assert (again.limit, again.main_seq, again.main_rows) == (2, table.main_seq, 3) and keys(again.delta()) == [2]
+
+
+def test_fixed_records_with_deleted_ones(spark, tmp_path):
+    n = 10_000
+    rows = pd.DataFrame({"id": range(n), "producto": [f"P{i}" for i in range(n)], "cantidad": 1, "precio": 0.5, "fecha": "x"})
+    data = bytearray(fixed.encode(rows, fixed.SALES, "latin-1", b"\0"))
+    data[52 * 7 : 52 * 8] = bytes(52)
+    (tmp_path / "f.dat").write_bytes(data)
+    got = sorted((r["_rid"], r["id"], r["producto"]) for r in fixed.read_fixed(spark, str(tmp_path / "f.dat"), fixed.SALES, "latin-1").collect())
+    assert got == [(i, i, f"P{i}") for i in range(n) if i != 7]
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.tuples(st.just("add"), st.lists(st.integers(0, 6), min_size=1, max_size=4)), st.tuples(st.just("remove"), st.integers(0, 6))), max_size=4))
 def test_like_a_list(spark, tmp_path_factory, steps):
