@@ -1,20 +1,23 @@
 """Files of fixed-width records: one record after another in native byte order, a record of NUL bytes being deleted.
 
-Reading splits the file at record borders; each Arrow batch is decoded by numpy, not row by row.
+Reading splits the file at record borders, and numpy decodes records in blocks. Spark's reader of such files also tells each
+record's place, so that numbering them needs no pass of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basalt.functions.codec import ColumnType
 
+from . import files
+
 
 #: The sales record: 52 bytes, texts in latin-1 padded with NULs.
 SALES = (
@@ -62,16 +65,37 @@ def encode(rows: pd.DataFrame, columns: Sequence[tuple[str, ColumnType]], encodi
     return table.tobytes()
 
 
+#: Records that are decoded at once.
+BLOCK = 4096
+
+
 def read_fixed(spark: SparkSession, path: str, columns: Sequence[tuple[str, ColumnType]], encoding: str = "utf-8") -> DataFrame:
     """Live records of a file, with `_rid`: the record's place among all that the file holds."""
     width = layout(columns).itemsize
-    schema = T.StructType([T.StructField(n, k.spark) for n, k in columns])
+    schema = T.StructType([*(T.StructField(n, k.spark) for n, k in columns), T.StructField("_rid", T.LongType())])
+    dead = bytes(width)
+
+    def rows(records: Iterator[tuple[int, bytearray]]) -> Iterator[tuple]:
+        for block in batched(records, BLOCK):
+            live = [(place, bytes(data)) for place, data in block if data != dead]
+            table = decode(b"".join(data for _, data in live), columns, encoding)
+            values = [[v.tolist() for v in table[n]] if k.name == "ARRAY" else table[n].tolist() for n, k in columns]
+            yield from zip(*values, [place for place, _ in live], strict=True)
+
+    form = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    conf = {f"{form}.recordLength": str(width)}
+    records = spark.sparkContext.newAPIHadoopFile(path, form, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+    return spark.createDataFrame(records.mapPartitions(rows), schema)
+
+
+def write_fixed(rows: DataFrame, path: str, columns: Sequence[tuple[str, ColumnType]], encoding: str = "utf-8", padding: bytes = b" ") -> None:
+    """Writes rows, whose values fit their types, as one file of records in their order. Tasks encode them; their bytes pass the
+    driver partition by partition, as a single file has a single writer."""
+    names = [n for n, _ in columns]
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = decode(b"".join(map(bytes, frame["record"])), columns, encoding)
-            yield out.assign(_rid=frame["_rid"].to_numpy())
+            yield pd.DataFrame({"data": [encode(frame, columns, encoding, padding)]})
 
-    numbered = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda x: (bytearray(x[0]), x[1]))
-    records = spark.createDataFrame(numbered, "record binary, _rid long").where(F.col("record") != F.lit(bytearray(width)))
-    return records.mapInPandas(rows, T.StructType([*schema.fields, T.StructField("_rid", T.LongType())]))
+    made = rows.select(*names).mapInPandas(blocks, "data binary")
+    files.write_stream(rows.sparkSession, path, (bytes(r["data"]) for r in made.toLocalIterator()))

@@ -1,5 +1,6 @@
 import json
 import threading
+import urllib.error
 import urllib.request
 
 import pytest
@@ -13,13 +14,26 @@ def test_upload_report(engine, tmp_path):
     (tmp_path / "ragged.csv").write_text('Full Name,birth-year,Full Name\n"Doe, J",1990, x \nshort,1\nlong,1,2,3\n\n,,\n"say ""hi""",2,\'q\'\n')
     report = engine.upload(str(tmp_path / "ragged.csv"), "People")
     assert report["headers"] == ["full_name", "birth_year", "full_name_2"]
-    assert (report["inserted"], report["failed"], report["recordCount"]) == (4, 2, 4)
+    assert (report["inserted"], report["failed"], report["recordCount"]) == (4, 2, 6)
     rows = [tuple(r) for r in engine.sql("SELECT * FROM people ORDER BY full_name").collect()]
     assert rows == [("", "", ""), ("Doe, J", "1990", "x"), ("long", "1", "2"), ('say "hi', "2", "q")]
     with pytest.raises(SqlError, match="exists"):
         engine.upload(str(tmp_path / "ragged.csv"), "PEOPLE")
 
 
+@pytest.mark.parametrize("multi_line", [None, True])
+def test_line_ends_inside_quotes(engine, tmp_path, multi_line):
+    (tmp_path / "q.csv").write_text('a,b\n"one\n\ntwo",2\n\n"x ""y"" z",3\nshort\n')
+    report = engine.upload(str(tmp_path / "q.csv"), "q", multi_line)
+    assert (report["inserted"], report["failed"], report["recordCount"]) == (2, 2, 4)
+    assert sorted(r["a"] for r in engine.sql("SELECT a FROM q").collect()) == ["one\n\ntwo", 'x "y" z']
+
+
+def test_a_long_ragged_record_is_counted_quickly(engine, tmp_path):
+    (tmp_path / "l.csv").write_text("a,b\n" + ",".join(['"x,y"'] * 50_000) + "\n")
+    assert engine.upload(str(tmp_path / "l.csv"), "l")["inserted"] == 1
+
+
 def test_empty_upload(engine, tmp_path):
     (tmp_path / "e.csv").write_text("")
     assert engine.upload(str(tmp_path / "e.csv"), "e")["inserted"] == 0
@@ -50,6 +64,17 @@ def test_http(engine):
         assert post("/create_index", {"index_type": "btree", "table_name": "u", "column": "city"})["ok"]
         assert post("/query", {"query": 'SELECT id FROM u WHERE city = "Lima"'}) == {"ok": True, "result": [{"id": "1"}]}
         assert not post("/query", {"query": "DROP TABLE u"})["ok"]
+        with pytest.raises(urllib.error.HTTPError) as refused:
+            post("/upload?table_name=u", b"id\n1\n")
+        assert refused.value.code == 400 and json.load(refused.value) == {"ok": False, "error": "table exists: u"}
+        mark = "----mark"
+        form = f'--{mark}\r\nContent-Disposition: form-data; name="file"; filename="p.csv"\r\nContent-Type: text/csv\r\n\r\nid,city\r\n1,"Li--{mark}ma"\n2,Cusco\n\r\n--{mark}\r\nContent-Disposition: form-data; name="table_name"\r\n\r\nforms\r\n--{mark}--\r\n'
+        request = urllib.request.Request(base + "/upload", data=form.encode(), headers={"Content-Type": f"multipart/form-data; boundary={mark}"})
+        with urllib.request.urlopen(request) as reply:
+            report = json.load(reply)
+        assert (report["ok"], report["fileName"], report["tableName"], report["inserted"]) == (True, "p.csv", "forms", 2)
+        assert post("/query", {"query": "SELECT city FROM forms WHERE id = '1'"})["result"] == [{"city": f"Li--{mark}ma"}]
+        assert engine.store.tables() == ["forms", "u"]
     finally:
         server.shutdown()
 
