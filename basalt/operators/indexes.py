@@ -62,36 +62,98 @@ def sparse_floor(probes: DataFrame, probe: str, index: DataFrame, key: str) -> D
     return out.select(F.col("v").alias(probe), F.coalesce("here", "inherited").alias("floor_key"))
 
 
-def paged(rows: DataFrame, key: str, per_page: int = 2) -> DataFrame:
-    """Rows with `page_no` and `slot`: pages of `per_page` rows in key order, without sorting the table in one task.
+#: Places within a partition, in Spark's increasing ids.
+_BITS = 33
+#: Share of all rows that makes a page hot; so there are 1 / HOT_SHARE hot pages at most.
+HOT_SHARE = 1 / 1000
+
+
+def ranked(rows: DataFrame, *by: str, name: str = "__rank") -> DataFrame:
+    """Rows with their place in the order of `by`, from 0, without sorting the table in one task.
 
-    Ranges are sorted apart; each range's first row number comes from a table of range sizes.
+    Ranges are sorted apart, and a row's increasing id tells its range and its place there, so that no second shuffle is
+    needed; each range's first place comes from a table of range sizes, which has as many rows as there are ranges.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(rows.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id()))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    placed = cut(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned(F.col("__at"), _BITS)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__part", "__start")
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    numbered = placed.withColumn("__at", at).join(F.broadcast(starts), "__part")
-    place = F.col("__start") + F.col("__at")
-    out = numbered.withColumns({"page_no": F.floor(place / per_page).cast("long"), "slot": (place % per_page).cast("int")})
-    return out.drop("__part", "__at", "__start")
+    met = placed.join(F.broadcast(starts), part == F.col("__part"))
+    return met.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << _BITS) - 1)).drop("__part", "__at", "__start")
+
+
+def paged(rows: DataFrame, key: str, per_page: int = 2) -> DataFrame:
+    """Rows with `page_no` and `slot`: pages of `per_page` rows in key order."""
+    place = F.col("__rank")
+    return ranked(rows, key).withColumns({"page_no": F.floor(place / per_page).cast("long"), "slot": (place % per_page).cast("int")}).drop("__rank")
+
+
+def _beside_pages(rows: DataFrame, pages: DataFrame, size: str) -> DataFrame:
+    """Rows with what `pages` says of their `page_no`. Pages with more than a fixed share of all rows are few by that share and
+    are broadcast, so that no page's rows come into one task; the others meet by a shuffle."""
+    bound = (pages.agg(F.sum(size)).first()[0] or 0) * HOT_SHARE
+    hot, cold = pages.where(F.col(size) > bound), pages.where(F.col(size) <= bound)
+    first = rows.join(F.broadcast(hot), "page_no")
+    return first.unionByName(rows.join(F.broadcast(hot.select("page_no")), "page_no", "left_anti").join(cold, "page_no"))
+
+
+def _placed(index: DataFrame, first_key: str, page: str, rows: DataFrame, key: str) -> DataFrame:
+    """Rows with `page_no`, the page of the greatest first key not above the row's key (the first page below all), and
+    `__rank`, their place in key order. Only distinct keys and page numbers meet the index."""
+    floors = sparse_floor(rows.select(key).distinct(), key, index.select(first_key), first_key)
+    least = index.agg(F.min(first_key)).first()[0]
+    found = floors.withColumn("__first", F.coalesce("floor_key", F.lit(least)))
+    pages = index.select(F.col(first_key).alias("__first"), F.col(page).alias("page_no"))
+    return ranked(rows.join(found.join(pages, "__first").select(key, "page_no"), key), key)
 
 
 def overflow(index: DataFrame, first_key: str, page: str, rows: DataFrame, key: str, per_page: int = 2) -> DataFrame:
     """Rows placed in existing pages: `page_no` of the greatest first key not above the row's key (the first page below all),
     and `chain`, the number of the page in that page's chain of overflow pages, in key order.
 
-    `index` has one row for each page. Only keys and page numbers meet it; rows join their keys afterwards.
+    `index` has one row for each page. A page's rows are neighbours in key order, so a place in the chain is a place in the
+    whole order less that of the page's first row; a long chain is never one task.
     """
-    floors = sparse_floor(rows.select(key).distinct(), key, index.select(first_key), first_key)
-    least = index.agg(F.min(first_key)).first()[0]
-    found = floors.withColumn("__at", F.coalesce("floor_key", F.lit(least)))
-    pages = index.select(F.col(first_key).alias("__at"), F.col(page).alias("page_no"))
-    placed = rows.join(found.join(pages, "__at").select(key, "page_no"), key)
-    at = F.row_number().over(Window.partitionBy("page_no").orderBy(key)) - 1
-    return placed.withColumn("chain", F.floor(at / per_page).cast("int"))
+    placed = cut(_placed(index, first_key, page, rows, key))
+    pages = cut(placed.groupBy("page_no").agg(F.min("__rank").alias("__least"), F.count("*").alias("__rows")))
+    met = _beside_pages(placed, pages, "__rows")
+    return met.withColumn("chain", F.floor((F.col("__rank") - F.col("__least")) / per_page).cast("int")).drop("__rank", "__least", "__rows")
+
+
+def page_search(pages: DataFrame, key: str, probes: DataFrame, probe: str) -> DataFrame:
+    """Rows of `pages` (with `page_no`, and a chain's rows under the number of its page) that have a probed key, beside the probe.
+
+    The index is the first key of each page; a probe's floor in it names the page, and the key is looked for in that page only.
+    Chains hold what is above their page's first key and below the next, the first page's chain also what is below all.
+    """
+    index = pages.groupBy("page_no").agg(F.min(key).alias("__first"))
+    found = _placed(index, "__first", "page_no", probes.select(F.col(probe)).distinct(), probe).drop("__rank")
+    return pages.join(found, [pages["page_no"] == found["page_no"], pages[key] == found[probe]]).select(found[probe], *(pages[c] for c in pages.columns))
+
+
+def split_insert(pages: DataFrame, key: str, rows: DataFrame, per_page: int = 2) -> DataFrame:
+    """All keys after `rows` have come into `pages` (key, `page_no`): key, `page_no` (where the key went), `first` and `size` (the
+    piece of that page that holds the key: its first place in the page's key order, and its keys).
+
+    A page that holds too many is split in half, the lower half being the smaller one, and halves that hold too many again.
+    """
+    index = pages.groupBy("page_no").agg(F.min(key).alias("__first"))
+    came = _placed(index, "__first", "page_no", rows.select(key), key).drop("__rank")
+    placed = cut(ranked(pages.select(key, "page_no").unionByName(came.select(key, "page_no")), "page_no", key))
+    sizes = cut(placed.groupBy("page_no").agg(F.min("__rank").alias("__least"), F.count("*").alias("__rows")))
+    met = _beside_pages(placed, sizes, "__rows").withColumn("__at", F.col("__rank") - F.col("__least"))
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.col("__rows").cast("double"))).cast("int"))
+
+    def halve(piece: Column, _: Column) -> Column:
+        half = F.floor(piece["size"] / 2)
+        lower = F.struct(piece["first"].alias("first"), half.alias("size"))
+        upper = F.struct((piece["first"] + half).alias("first"), (piece["size"] - half).alias("size"))
+        return F.when(piece["size"] <= per_page, piece).when(F.col("__at") < piece["first"] + half, lower).otherwise(upper)
+
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("__rows").alias("size"))
+    return met.withColumn("__piece", F.aggregate(halvings, whole, halve)).select(key, "page_no", "__piece.first", "__piece.size")
 
 
 def merged(main: DataFrame, delta: DataFrame, live: Column) -> DataFrame:

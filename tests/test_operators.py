@@ -29,6 +29,45 @@ def test_pages(spark, keys, per_page):
     assert got == [(i // per_page, i % per_page, k) for i, k in enumerate(sorted(keys))]
 
 
+def halved(keys, most):
+    return [keys] if len(keys) <= most else halved(keys[: len(keys) // 2], most) + halved(keys[len(keys) // 2 :], most)
+
+
+@QUICK
+@given(st.sets(st.integers(0, 60), min_size=1, max_size=12), st.sets(st.integers(-10, 90), max_size=40), st.integers(1, 3))
+def test_pages_chain_split_and_are_searched(spark, first, later, per_page):
+    later, first = sorted(later - first), sorted(first)
+    frame = lambda ks: spark.createDataFrame([(k,) for k in ks], "k long")
+    pages = indexes.paged(frame(first), "k", per_page)
+    index = {first[i]: i // per_page for i in range(0, len(first), per_page)}
+    page_of = lambda k: index[max((f for f in index if f <= k), default=first[0])]
+    came = {p: [k for k in later if page_of(k) == p] for p in index.values()}
+    ends = pages.groupBy("page_no").agg(F.min("k").alias("f"))
+    chains = indexes.overflow(ends, "f", "page_no", frame(later), "k", per_page)
+    assert sorted((r["k"], r["page_no"], r["chain"]) for r in chains.collect()) == sorted((k, p, i // per_page) for p, ks in came.items() for i, k in enumerate(ks))
+    held = {p: sorted([*came[p], *(k for k in first if page_of(k) == p)]) for p in came}
+    got = sorted((r["page_no"], r["first"], r["size"], r["k"]) for r in indexes.split_insert(pages, "k", frame(later), per_page).collect())
+    want = []
+    for p, ks in held.items():
+        at = 0
+        for piece in halved(ks, per_page):
+            want += [(p, at, len(piece), k) for k in piece]
+            at += len(piece)
+    assert got == sorted(want)
+    asked = spark.createDataFrame([(k,) for k in range(-12, 95, 3)], "p long")
+    everything = pages.select("k", "page_no").unionByName(chains.select("k", "page_no"))
+    found = sorted((r["p"], r["page_no"]) for r in indexes.page_search(everything.where(F.col("k") >= first[0]), "k", asked, "p").collect())
+    assert found == sorted((k, p) for p, ks in held.items() for k in ks if k >= first[0] and (k + 12) % 3 == 0)
+
+
+def test_a_long_chain_is_not_one_task(spark, monkeypatch):
+    monkeypatch.setattr(indexes, "HOT_SHARE", 0.5)
+    pages = indexes.paged(spark.range(10).selectExpr("id AS k"), "k", 2)
+    ends = pages.groupBy("page_no").agg(F.min("k").alias("f"))
+    got = indexes.overflow(ends, "f", "page_no", spark.range(10, 3000).selectExpr("id AS k"), "k", 2)
+    assert {(r["k"], r["chain"]) for r in got.collect()} == {(k, (k - 10) // 2) for k in range(10, 3000)}
+
+
 @QUICK
 @given(st.lists(st.integers(0, 9), max_size=20), st.lists(st.integers(0, 9), max_size=20), st.sets(st.integers(0, 9)))
 def test_merge_is_a_bag_without_the_deleted(spark, main, delta, gone):
