@@ -32,13 +32,15 @@ def local_session(cores: int = 8, memory: str = "6g", shuffle_partitions: int =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a new local one where it is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or a new local one where it is unset and the master is local (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="basalt-checkpoint-")
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
