@@ -9,6 +9,8 @@ from .common import cut
 
 #: A node with more than this share of all edges (and more than LEAST_HOT) is hot; so there are 2 / HOT_SHARE hot nodes at most.
 HOT_SHARE, LEAST_HOT = 1 / 1000, 100
+#: Edges of a partition: few edges are not dealt over many tasks and files in each round.
+PART_EDGES = 50_000
 
 
 def _joined(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
@@ -38,12 +40,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     suffice (they grow with the logarithm of the longest chain).
     """
     state = cut(edges.where("a <> b").select("a", "b").distinct())
-    mark = None
+    mark = parts = None
     while most_rounds:
         row = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (row["n"], row["h"]) == mark:
+        if not row["n"] or (row["n"], row["h"]) == mark:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if parts is None:
+            state = state.coalesce(parts := 1 + row["n"] // PART_EDGES)  # rounds never add edges
         mark, hot = (row["n"], row["h"]), max(LEAST_HOT, int(row["n"] * HOT_SHARE))
-        state = cut(_small_star(cut(_large_star(state, hot)), hot))
+        state = cut(_small_star(cut(_large_star(state, hot).coalesce(parts)), hot).coalesce(parts))
         most_rounds -= 1
     raise RuntimeError("components did not settle")

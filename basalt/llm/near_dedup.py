@@ -188,7 +188,7 @@ def _links_of_large(rows: DataFrame, percent: int) -> DataFrame:
         named = rows.join(roots, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "sid")).drop("node", "root")
         sizes = named.groupBy("comp", "label").count()
         top = sizes.groupBy("comp").agg(F.max(F.struct("count", "label")).alias("x")).select("comp", F.col("x.label").alias("top"), F.col("x.count").alias("among"))
-        named = named.join(if_small(cut(top)), "comp")  # one row for each component that is too large
+        named = named.join(if_small(cut(top.coalesce(8))), "comp")  # one row for each component that is too large
         base = named.select("comp", F.col("block").alias("part"), "sid", "label", F.lit(False).alias("probe"), "shingles")
         if stage == "pivots":
             # the hash leaves a few times as many as are wanted, whatever the size of the group
@@ -196,7 +196,7 @@ def _links_of_large(rows: DataFrame, percent: int) -> DataFrame:
             keys = named.where("label = top").select("comp", "sid", h.alias("h"), "among")
             keys = keys.where(F.col("h").cast("double") <= float(2**64) * 4 * PIVOTS / F.col("among") - float(2**63))
             chosen = keys.withColumn("n", F.row_number().over(Window.partitionBy("comp").orderBy("h", "sid"))).where(f"n <= {PIVOTS}").select("sid")
-            probes = named.join(if_small(cut(chosen)), "sid", "left_semi")
+            probes = named.join(if_small(cut(chosen.coalesce(8))), "sid", "left_semi")
         else:
             probes = named.where("label <> top")
         # each probe visits every block; probes of one block are kept apart so that a task stays small
@@ -344,3 +344,34 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op7_near_dedup(spark, sf_dir):
     """The near-duplicate component of every document, by 3-word shingles and a similarity of 0.85."""
     return near_groups(table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_key")
+
+
+#: Every pair of different sets that share a shingle is counted, and links are followed to their end: for tables of test size.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS g
+  FROM w
+), classed AS (
+  SELECT r, doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN min(r) OVER (PARTITION BY g) ELSE r END AS c, g FROM s
+), shingle AS (
+  SELECT c, n, unnest(g) AS x FROM classed WHERE r = c AND n > 0
+), link AS (
+  SELECT a.c AS a, b.c AS b FROM shingle a JOIN shingle b ON a.x = b.x AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT DISTINCT a AS c, a AS o FROM both_ways UNION SELECT reach.c, both_ways.b FROM reach JOIN both_ways ON reach.o = both_ways.a
+), least AS (
+  SELECT c, min(doc_id) AS first_id FROM classed GROUP BY c
+), component AS (
+  SELECT reach.c, min(first_id) AS component_id FROM reach JOIN least ON reach.o = least.c GROUP BY reach.c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, first_id) AS component_id, doc_id = coalesce(component_id, first_id) AS kept
+FROM classed JOIN least USING (c) LEFT JOIN component USING (c)
+"""

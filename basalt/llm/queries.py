@@ -24,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.SQL,
         "op4_mix_sources": mixing.SQL,
+        "op7_near_dedup": near_dedup.SQL,
         "op8_decontaminate": decontaminate.SQL,
         "op9_pii": pii.SQL,
     }
