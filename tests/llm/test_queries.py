@@ -76,6 +76,41 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == kept["mixing"]
 
 
+def test_a_failed_run_goes_on_after_its_last_finished_stage(spark, tmp_path, monkeypatch):
+    called = []
+
+    def stage(name, fail):
+        def run(spark, docs, sf_dir):
+            called.append(name)
+            if fail and called.count(name) == 1:
+                raise RuntimeError("lost")
+            return docs.where(docs["doc_id"] % 3 != len(name) % 3)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a", False), stage("bb", False), stage("ccc", True)])
+    folder = str(tmp_path / "run")
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, SF, folder)
+    assert [p.name for p in (tmp_path / "run").iterdir()] == ["1-bb"]
+    assert corpus_pipeline.run(spark, SF, folder).count() == 0 and called == ["a", "bb", "ccc", "ccc"]
+    # a run without a folder of its own leaves nothing when it fails
+    called.clear()
+    before = set(corpus_pipeline.files.children(spark, corpus_pipeline.checkpoint_dir(spark)))
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, SF)
+    assert set(corpus_pipeline.files.children(spark, corpus_pipeline.checkpoint_dir(spark))) == before
+
+
+def test_the_mix_weighs_documents_by_their_quality_score(spark):
+    from basalt.llm import quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
+    for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect():
+        assert r["quality"] == pytest.approx(scores[r["doc_id"]], rel=1e-6)
+
+
 @pytest.mark.parametrize("texts", [[None, None], ["", ""], ["...", "\n"], ["same text", "same text"]])
 def test_every_query_over_dull_tables(spark, tmp_path, texts):
     for t in ("documents", "pages", "labels", "benchmark"):
