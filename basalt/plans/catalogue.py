@@ -87,6 +87,22 @@ def index_rtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.near("t", "at", (-0.05, 0.05, -0.05, 0.05)).select("vec_id")
 
 
+def json_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a SELECT as the HTTP answer gives them."""
+    e = _loaded(spark, sf_dir, "nation", "n_nationkey INT, n_name VARCHAR[25]")
+    answer = e.answer("SELECT n_nationkey, n_name, nothing FROM t")
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"], r["nothing"]) for r in answer["result"]], "n_nationkey int, n_name string, nothing string")
+
+
+def sequential_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of the delta before and after a compaction of all orders, as a table that is opened again has it."""
+    e = _loaded(spark, sf_dir, "orders", "o_orderkey INT")
+    first = SequentialTable(e.store, "t", "o_orderkey")
+    before = first.limit
+    first.reconstruct()
+    return spark.createDataFrame([(before, SequentialTable(e.store, "t", "o_orderkey").limit)], "before long, after long")
+
+
 def truncate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table is emptied and filled again."""
     e = _loaded(spark, sf_dir, "orders", ORDERS.format(" INDEX btree"))
@@ -362,6 +378,9 @@ QUERIES: dict[str, Query] = {
     "filter_int_cast": lambda spark, sf_dir: query(
         table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_linenumber").cast("string")), "SELECT l_orderkey, l_linenumber, l_returnflag, n FROM t WHERE int(n) > 5"
     ).select("l_orderkey", "l_linenumber", codec.to_int(F.col("l_returnflag")).alias("v")),
+    "filter_functions": _statement(
+        "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE abs(l_quantity - 25) > 10 AND min(l_quantity, 45) = l_quantity AND max(l_tax, l_discount) = l_tax AND float(str(l_linenumber)) > 2 AND round(l_tax * 100) = 4"
+    ),
     "limit_first_n": _statement("nation", "SELECT * FROM nation ORDER BY n_nationkey LIMIT 10"),
     "insert_positional": insert_positional,
     "insert_short_tuple_defaults": insert_short_tuple_defaults,
@@ -372,6 +391,8 @@ QUERIES: dict[str, Query] = {
     "index_remove_one": index_remove_one,
     "index_remove_all": index_remove_all,
     "truncate_table": truncate_table,
+    "json_answer": json_answer,
+    "sequential_limit": sequential_limit,
     "fixed_width_roundtrip": fixed_width_roundtrip,
     "csv_export": csv_export,
     "table_row_count": _statement("lineitem", "SELECT COUNT(*) AS n FROM lineitem"),
@@ -428,6 +449,9 @@ SQL = {
     "filter_truthy": "SELECT doc_id, toxic FROM labels WHERE toxic <> 0",
     "filter_len": "SELECT p_partkey, p_name FROM part WHERE length(p_name) > 8",
     "filter_int_cast": "SELECT l_orderkey, l_linenumber, coalesce(try_cast(l_returnflag AS INT), 0) AS v FROM lineitem WHERE coalesce(try_cast(CAST(l_linenumber AS VARCHAR) AS INT), 0) > 5",
+    "filter_functions": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE abs(l_quantity - 25) > 10 AND least(l_quantity, 45) = l_quantity AND greatest(l_tax, l_discount) = l_tax AND l_linenumber > 2 AND round_even(l_tax * 100, 0) = 4",
+    "json_answer": "SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS nothing FROM nation",
+    "sequential_limit": "SELECT CAST(3 AS BIGINT) AS before, CAST(floor(log2(count(*) + 3)) AS BIGINT) AS after FROM orders",
     "limit_first_n": "SELECT * FROM nation ORDER BY n_nationkey LIMIT 10",
     "insert_positional": "SELECT * FROM region UNION ALL SELECT CAST(99 AS INT), 'ATLANTIS'",
     "insert_short_tuple_defaults": "SELECT * FROM region UNION ALL SELECT CAST(99 AS INT), ''",
