@@ -7,6 +7,10 @@ rtree: partitioned by range of grid cells of a point, so that a rectangle reads
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,24 +46,34 @@ def write_gridded(rows: DataFrame, point: str, path: str, step: float = 1.0) ->
     marked.repartitionByRange("_cx", "_cy").sortWithinPartitions("_cx", "_cy").write.parquet(path)
 
 
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `here` to sorted rows (v, is_probe, part): the last index key up to each row."""
+    last = None
+    for batch in batches:
+        v, is_probe, part = batch.columns
+        own = pc.if_else(pc.equal(is_probe, 0), v, pa.scalar(None, v.type))
+        here = pc.fill_null_forward(pa.concat_arrays([pa.array([last], v.type), own])).slice(1)
+        last = here[-1].as_py() if len(here) else last
+        yield pa.RecordBatch.from_arrays([v, is_probe, part, here], ["v", "is_probe", "part", "here"])
+
+
 def sparse_floor(probes: DataFrame, probe: str, index: DataFrame, key: str) -> DataFrame:
-    """For each probe the greatest index key not above it, as `floor_key`; null below all keys.
+    """For each probe the greatest index key not above it, as `floor_key`; null below all keys, and for a null.
 
-    Both sides are put into one order by range partitions. Within a partition the last key seen so far answers; what a
-    partition inherits from those before it is one value each, so the fix-up table has as many rows as partitions.
+    Both sides are put into one order by range partitions. Within a partition the last key seen so far answers, which one pass
+    over the sorted rows carries along without another shuffle; what a partition inherits from those before it is one value
+    each, so the fix-up table has as many rows as partitions.
     """
     both = index.select(F.col(key).alias("v"), F.lit(0).alias("is_probe")).unionByName(probes.select(F.col(probe).alias("v"), F.lit(1).alias("is_probe")))
     parts = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = both.repartitionByRange(parts, "v")
-    placed = cut(ranged.withColumn("part", F.spark_partition_id()))
-    tops = placed.where("is_probe = 0").groupBy("part").agg(F.max("v").alias("top"))
+    ranged = both.repartitionByRange(parts, "v").sortWithinPartitions("v", "is_probe").withColumn("part", F.spark_partition_id())
+    kind = both.schema["v"].dataType.simpleString()
+    seen = cut(ranged.mapInArrow(_carried, f"v {kind}, is_probe int, part int, here {kind}"))
+    tops = seen.groupBy("part").agg(F.max(F.when(F.col("is_probe") == 0, F.col("v"))).alias("top"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    all_parts = placed.select("part").distinct().join(tops, "part", "left")
-    inherited = all_parts.withColumn("inherited", F.max("top").over(before)).select("part", "inherited")
-    run = Window.partitionBy("part").orderBy("v", "is_probe").rowsBetween(Window.unboundedPreceding, 0)
-    seen = placed.withColumn("here", F.max(F.when(F.col("is_probe") == 0, F.col("v"))).over(run))
+    inherited = tops.withColumn("inherited", F.max("top").over(before)).select("part", "inherited")
     out = seen.where("is_probe = 1").join(F.broadcast(inherited), "part")
-    return out.select(F.col("v").alias(probe), F.coalesce("here", "inherited").alias("floor_key"))
+    return out.select(F.col("v").alias(probe), F.when(F.col("v").isNotNull(), F.coalesce("here", "inherited")).alias("floor_key"))
 
 
 #: Places within a partition, in Spark's increasing ids.

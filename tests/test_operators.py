@@ -21,6 +21,13 @@ def test_sparse_floor(spark, keys, probes):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_sparse_floor_of_texts_and_nulls(spark):
+    index = spark.createDataFrame([("b",), ("m",), (None,)], "k string")
+    asked = spark.createDataFrame([("a",), ("c",), ("z",), (None,), ("c",)], "p string")
+    got = sorted(map(str, ((r["p"], r["floor_key"]) for r in indexes.sparse_floor(asked, "p", index, "k").collect())))
+    assert got == sorted(map(str, [("a", None), ("c", "b"), ("c", "b"), ("z", "m"), (None, None)]))
+
+
 @QUICK
 @given(st.lists(st.integers(0, 1000), max_size=40), st.integers(1, 4))
 def test_pages(spark, keys, per_page):
