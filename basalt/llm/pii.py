@@ -12,6 +12,9 @@ groups after it belong to it. Every span has a score: what its kind gives, raise
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,9 @@ SECRET = r"^(?:-----|AKIA|ASIA|gh[pousr]_|xox|AIza|sk_)|[:=].*[0-9]"
 #: An iban printed in groups, with what may follow it.
 GROUPS = r"^[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"
 #: What a text must hold for the pattern to have a chance.
-NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]", "secret": r"PRIVATE|AKIA|ASIA|gh[pousr]_|xox|AIza|sk_|(?i:passw|pwd|secret|token|key)"}
+NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]"}
+#: The same for secrets, as plain strings, the second ones in any case: a search for a string is far cheaper than one for a pattern.
+SECRET_NEEDS = ("PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk_"), ("passw", "pwd", "secret", "token", "key")
 #: (score alone, score beside context words, context words)
 SCORES = {
     "email": (0.9, 1.0, "mail|contact|write"),
@@ -103,6 +108,12 @@ def _confirmed(kind: str, match: Column) -> Column:
     return _iban(match) if kind == "iban" else F.lit(True)
 
 
+def _may_hold_secrets(text: Column) -> Column:
+    exact, lowered = SECRET_NEEDS
+    named = reduce(or_, (F.lower(text).contains(x) for x in lowered))
+    return reduce(or_, (text.contains(x) for x in exact)) | ((text.contains("=") | text.contains(":")) & named)
+
+
 def _located(frame: DataFrame, kind: str) -> DataFrame:
     """Adds `__kind`: array of (start, end, match) of all matches of the kind's pattern, code points, end exclusive.
 
@@ -111,7 +122,7 @@ def _located(frame: DataFrame, kind: str) -> DataFrame:
     """
     text, pattern, none = F.col("__text"), PATTERNS[kind], F.array().cast("array<string>")
     m, g, lens, sums, offs = (f"__{kind}_{x}" for x in ("m", "g", "lens", "sums", "offs"))
-    some = text.rlike(NEEDS[kind])
+    some = _may_hold_secrets(text) if kind == "secret" else text.rlike(NEEDS[kind])
     frame = frame.withColumn(m, F.when(some, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(none))
     frame = frame.withColumn(g, F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none))
     frame = frame.withColumn(lens, F.zip_with(m, F.slice(g, F.lit(1), F.size(m)), lambda x, gap: F.length(x) + F.length(gap)))
