@@ -3,8 +3,9 @@
 1. Every text becomes the set of its word shingles and a sketch of it. Texts with the same set form a class; only
    classes go on (hot groups of exact copies are folded by a partial aggregate).
 2. Bands of the sketch put classes into buckets. In a small bucket, sketches are compared and a spanning forest of the
-   pairs that may be similar enough leaves it. Large buckets are split by pairs of large bands that classes share, which keeps
-   apart what merely has a passage in common; what is large then too is tied to its least. No bucket emits its pairs.
+   pairs that may be similar enough leaves it; in a large one every class is tied to the least. Buckets so large that the
+   components made by such ties would cost too much to settle are split first, by pairs of such bands that classes share, which
+   keeps apart what merely has a passage in common. No bucket emits its pairs.
 3. Connected components of these ties hold every link. Each is settled on the full shingle sets: a union-find compares
    a class with those it is not joined to yet, and emits who joins whom.
    A component too large for one task is dealt into blocks: first each block is settled by itself, then some pivots meet
@@ -28,6 +29,8 @@ from .shingles import U, band_keys, bands_for, mix, shingle_sets, sketches
 
 #: Coordinates of a sketch, largest bucket whose sketches are compared, largest set of classes and of shingles for one task.
 COORDINATES, SMALL_BUCKET, TASK_CLASSES, TASK_SHINGLES = 256, 512, 256, 3_000_000
+#: Largest bucket that is not split: its classes, if none were alike, would meet in 2e8 pairs, some 20 seconds of work over many tasks.
+SPLIT_BUCKET = 20_000
 #: Most buckets whose rows are broadcast; share of all rows that makes a class hot, so that there are 1 / HOT_SHARE hot classes at most.
 HOT_BUCKETS, HOT_SHARE = 5000, 1 / 1000
 #: Deviations of the estimate that a pair may lie under the threshold and still be verified.
@@ -217,7 +220,7 @@ def _links_of_large(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _bucketed(member: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """From rows (cid, key): the sorted `cids` of every bucket that is small, and the rows of large ones (cid, key, least), or
+    """From rows (cid, key): the sorted `cids` of every bucket that is small, and the rows of large ones (cid, key, least, size), or
     None if there are none. Buckets above a bound hold so large a share of all rows that they are few, and are broadcast."""
     buckets = cut(member.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("least")).where("size > 1"))
     seen = buckets.agg(F.sum("size").alias("n"), F.max("size").alias("most")).first()
@@ -227,30 +230,36 @@ def _bucketed(member: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     lists = placed.where(F.col("size") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("cids")).select("cids")
     if (seen["most"] or 0) <= SMALL_BUCKET:
         return lists, None
-    columns = ["cid", "key", "least"]
+    columns = ["cid", "key", "least", "size"]
     return lists, placed.where(F.col("size") > SMALL_BUCKET).select(columns).unionByName(member.join(hot, "key").select(columns))
 
 
 def _coarse_ties(classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) between classes: their components hold every pair that may be similar enough.
 
-    A pair that shares a small bucket meets there. One that shares large buckets only meets in those that two of its bands
-    make; with one band in common and that a large one it would not, which has a chance of about 2e-5 at the threshold.
+    A pair that shares a small bucket meets there, one that shares a large bucket is tied. One that shares buckets beyond
+    `SPLIT_BUCKET` only meets, or is tied, in those that two of its bands make; with one band in common and that so large it
+    would not, which has a chance of 2e-5 at a threshold of 0.85 and of 5e-5 at 0.8.
     """
     lists, large = _bucketed(classes.select("cid", F.explode("bands").alias("key")))
-    stars = None
+    stars = []
     if large is not None:
-        both = cut(large.groupBy("cid").agg(F.array_sort(F.collect_set("key")).alias("keys")))  # as many as there are bands
-        first = F.posexplode("keys").alias("at", "one")
-        pairs = both.select("cid", "keys", first).select("cid", "one", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("two"))
-        small, large = _bucketed(pairs.select("cid", F.xxhash64("one", "two").alias("key")))
-        lists = lists.unionByName(small)
-        if large is not None:
-            stars = large.where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
+        large = cut(large)
+        stars.append(large.where(F.col("size") <= SPLIT_BUCKET))
+        huge = large.where(F.col("size") > SPLIT_BUCKET)
+        if huge.limit(1).count():
+            both = cut(huge.groupBy("cid").agg(F.array_sort(F.collect_set("key")).alias("keys")))  # as many as there are bands
+            first = F.posexplode("keys").alias("at", "one")
+            pairs = both.select("cid", "keys", first).select("cid", "one", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("two"))
+            small, large = _bucketed(pairs.select("cid", F.xxhash64("one", "two").alias("key")))
+            lists = lists.unionByName(small)
+            stars += [large] if large is not None else []
     lists = lists.distinct()
     listed = lists.select(F.xxhash64("cids").alias("lid"), F.explode("cids").alias("cid")).join(classes.select("cid", "sketch"), "cid")
     forest = listed.repartition("lid").sortWithinPartitions("lid", "cid").select("lid", "cid", "sketch").mapInPandas(_forest(percent), "a long, b long")
-    return forest if stars is None else forest.unionByName(stars)
+    for star in stars:
+        forest = forest.unionByName(star.where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct())
+    return forest
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -259,7 +268,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two documents are linked if 100 * intersection >= `percent` * union of their sets of distinct `k`-word shingles (words:
     runs of anything but blank and U+0009 to U+000D, A-Z lower-cased; fewer than `k` words: the sequence is one shingle).
     `component_id` is the smallest id reachable over links, `kept` tells the document with that id. The bands lose a pair
-    at the threshold with a chance below 1e-5 (5e-5 where all its buckets are large); every pair that is found is verified on full sets of 64-bit hashes.
+    at the threshold with a chance below 1e-5 (5e-5 where all its buckets are beyond `SPLIT_BUCKET`); every pair that is found is verified on full sets of 64-bit hashes.
 
     Nulls: a null text, like one without words, has no shingles and is linked with nothing; a null id never is a
     component's id where another exists. Repeated rows share a class; ties cannot arise, as ids decide. An empty table

@@ -61,16 +61,20 @@ def test_equals_brute_force(spark, k, percent):
     assert got(near_dedup.near_groups(docs(spark, rows), k=k, percent=percent)) == brute(rows, k, percent)
 
 
-def test_large_buckets_and_components_too_large_for_a_task(spark, monkeypatch):
+@pytest.mark.parametrize("split", [2, 10**6])
+def test_large_buckets_and_components_too_large_for_a_task(spark, monkeypatch, split):
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_dedup, "SPLIT_BUCKET", split)
     monkeypatch.setattr(near_dedup, "TASK_CLASSES", 3)
     rows = corpus(9)
     assert got(near_dedup.near_groups(docs(spark, rows), k=3, percent=85)) == brute(rows, 3, 85)
 
 
-def test_a_large_group_beside_texts_with_one_passage(spark, monkeypatch):
+@pytest.mark.parametrize("split", [8, 10**6])
+def test_a_large_group_beside_texts_with_one_passage(spark, monkeypatch, split):
     """Near copies of one text, and texts that only share a passage, in buckets that are large here."""
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 8)
+    monkeypatch.setattr(near_dedup, "SPLIT_BUCKET", split)
     monkeypatch.setattr(near_dedup, "TASK_CLASSES", 16)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
