@@ -21,7 +21,7 @@ from .common import MOST_BROADCAST, cut
 WORD = r"[^\x20\x09-\x0D]+"
 MARKS = r"[#$%&*|!@=<>]+"
 #: Documents of a source that are sorted at most, bins of a histogram, and the share of all documents that makes a source hot.
-BIN_DOCS, BINS, HOT_SHARE = 20_000, 1024, 1 / 1000
+BIN_DOCS, BINS, HOT_SHARE = 2000, 1024, 1 / 1000
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3) -> DataFrame:
