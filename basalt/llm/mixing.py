@@ -12,18 +12,29 @@ only the documents of the last bin are sorted. So no spread of the keys, and no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import MOST_BROADCAST, cut
 
-WORD = r"[^\x20\x09-\x0D]+"
-MARKS = r"[#$%&*|!@=<>]+"
+WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+MARKS, UNMARKED = r"[#$%&*|!@=<>]+", r"[^#$%&*|!@=<>]+"
 #: Documents of a source that are sorted at most, bins of a histogram, and the share of all documents that makes a source hot.
 BIN_DOCS, BINS, HOT_SHARE = 2000, 1024, 1 / 1000
 
 
+def n_words(text: Column) -> Column:
+    """How many runs `WORD` a text has. Nothing is made that outgrows the text: `regexp_count` would make an array of all words,
+    several times as large, which ends an executor where a text has some 100 MB."""
+    return F.length(F.regexp_replace(F.regexp_replace(text, WORD, "x"), GAP, ""))
+
+
+def n_marks(text: Column) -> Column:
+    """How many runs `MARKS` a text has, likewise."""
+    return F.length(F.replace(F.regexp_replace(F.regexp_replace(text, UNMARKED, " "), MARKS, "x"), F.lit(" "), F.lit("")))
+
+
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3) -> DataFrame:
     """`sources` (source, source_size) with `target`: the words each source shall give.
 
@@ -113,8 +124,8 @@ def mix(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.md5(text.cast("binary")).alias("of_text"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        (F.lit(1.0) / (1.0 + F.regexp_count(text, F.lit(MARKS)) / F.greatest(F.lit(1), F.regexp_count(text, F.lit(WORD))))).alias("by_text"),
+        n_words(text).cast("long").alias("size"),
+        (F.lit(1.0) / (1.0 + n_marks(text) / F.greatest(F.lit(1), n_words(text)))).alias("by_text"),
         (F.col(quality_col).cast("double") if quality_col else F.lit(None).cast("double")).alias("given"),
     )
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "of_text", F.lit(seed))

@@ -1,3 +1,7 @@
+import re
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +97,27 @@ def test_awkward_rows(spark):
     assert len(out) == len(AWKWARD) and out["taken"].sum() == out["size"].sum()
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mix(docs(spark, [(1, None), (2, "")])).toPandas()["taken"].tolist() == [0, 0]
+
+
+def test_counts_equal_the_patterns(spark):
+    texts = ["", " ", "\t\n\x0b\x0c\r ", "x", " x", "x ", " x  xx\r\n", "a\x1cb\x85c\u00a0d\u2003e \x00", "$1 \\ x# #x ##$ |", "####", "  # ", "Ä 中文 \U0001f600\U0001f600 ñ", "x " * 3000, " " * 3000]
+    frame = docs(spark, list(enumerate(texts))).select("doc_id", mixing.n_words(F.col("text")).alias("w"), mixing.n_marks(F.col("text")).alias("m"))
+    got = {r["doc_id"]: (r["w"], r["m"]) for r in frame.collect()}
+    assert got == {i: (len(re.findall(mixing.WORD, t)), len(re.findall(mixing.MARKS, t))) for i, t in enumerate(texts)}
+
+
+LONG_TEXT = """
+from pyspark.sql import functions as F
+from basalt.llm import mixing
+from basalt.session import local_session
+spark = local_session(cores=1, memory="512m", shuffle_partitions=1)
+text = F.repeat(F.concat(F.lit("a "), F.when(F.col("id") > 0, "b").otherwise("")), (F.col("id") + 8_000_000).cast("int"))
+docs = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), text.alias("text"))
+print("taken", mixing.mix(docs).first()["taken"])
+"""
+
+
+def test_a_long_text_takes_no_multiple_of_its_size():
+    """16 MB of short words in a heap of 512 MB; an array of all words does not fit there."""
+    done = subprocess.run([sys.executable, "-c", LONG_TEXT], capture_output=True, text=True, timeout=240)
+    assert "taken 8000000" in done.stdout, done.stderr[-2000:]
