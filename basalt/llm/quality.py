@@ -149,12 +149,17 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
 
 def _features_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for piece in chunks(frames, "text"):
-        yield pd.DataFrame({"hash": piece[HASH], "x": list(features(piece["text"].tolist()))})
+        yield pd.DataFrame({HASH: piece[HASH], "x": list(features(piece["text"].tolist()))})
+
+
+def _featured(rows: DataFrame) -> DataFrame:
+    """Features in place of texts, made where the rows lie: a sample's whole texts would not fit into one task, nor be read by one in time."""
+    return rows.select(HASH, "text").mapInPandas(_features_of, f"{HASH} long, x array<float>")
 
 
 def _matrix(sample: DataFrame) -> np.ndarray:
-    """Features of a sample's texts, in the order of its hashes."""
-    rows = sample.select(HASH, "text").mapInPandas(_features_of, "hash long, x array<float>").toPandas().sort_values("hash", kind="stable")
+    """Features of a sample, in the order of its hashes."""
+    rows = sample.toPandas().sort_values(HASH, kind="stable")
     return np.array(rows["x"].tolist(), np.float32).reshape(len(rows), WIDTH)
 
 
@@ -162,9 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, most: in
     """A network from documents with `labels.quality` of 1 and from unlabelled ones; rows that are held out (crc32 of the id
     modulo 5 is 0) are in neither sample. Ids of any type; a null id takes part in the unlabelled sample."""
     small_batches(docs.sparkSession)
-    positive = _matrix(labelled_sample(docs, labels, "quality", most, value=1))
+    positive = _matrix(labelled_sample(docs, labels, "quality", most, value=1, made=_featured))
     free = docs.where(crc_bucket(F.col("doc_id"), 5) != 0).select("doc_id", "text")
-    return train(positive, _matrix(bounded(free, most_unlabelled, ["doc_id", "text"])), prior)
+    return train(positive, _matrix(bounded(free, most_unlabelled, ["doc_id", "text"], _featured)), prior)
 
 
 def score_quality(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

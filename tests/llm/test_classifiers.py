@@ -1,3 +1,5 @@
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -97,6 +99,23 @@ def test_samples_agree_on_reruns_and_take_the_whole_of_a_small_table(corpus):
     assert samples.bounded(documents, 10**6, ["doc_id", "text"]).count() == documents.count()
 
 
+LONG_TEXTS = """
+from pyspark.sql import functions as F
+from basalt.llm import quality
+from basalt.session import local_session
+spark = local_session(cores=1, memory="512m", shuffle_partitions=1)
+rows = spark.range(0, 90, 1, 15).withColumn("doc_id", F.col("id"))
+docs = rows.select("doc_id", F.repeat(F.concat(F.lit("a"), F.col("id").cast("string")), 2_500_000).alias("text"))
+print("fitted", quality.fit(docs, rows.select("doc_id", F.lit(1).alias("quality"))).mean.shape)
+"""
+
+
+def test_a_sample_of_long_texts_is_in_no_task_as_a_whole():
+    """Some 70 texts of 7 MB are sampled in a heap of 512 MB: only their features may meet there."""
+    done = subprocess.run([sys.executable, "-c", LONG_TEXTS], capture_output=True, text=True, timeout=400)
+    assert f"fitted ({quality.WIDTH},)" in done.stdout, done.stderr[-2000:]
+
+
 def test_ids_may_be_texts(corpus):
     documents, labels = (t.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")) for t in corpus)
     assert quality.score_quality(documents, quality.fit(documents, labels)).schema["doc_id"].dataType.simpleString() == "string"
